@@ -70,12 +70,16 @@ def clean_response(col: Column) -> Column:
     return F.regexp_replace(strip(col), rf"{WS}+([.!?,])", "$1")
 
 
+# Stands for a character whose folding is longer than one character.
+EXPANDS = "\uf8ff"
+
+
 @functools.cache
 def _fold_tables() -> tuple[str, str, dict[str, str]]:
     """Compatibility foldings without combining marks, derived from ``unicodedata``.
 
-    Returns the from/to strings of the foldings to at most one character and the map of
-    those that expand. Hangul syllables are left to arithmetic.
+    Returns the from/to strings of ``translate`` and the map of the foldings that expand,
+    which the former replaces with ``EXPANDS``. Hangul syllables are left to arithmetic.
     """
     single, dropped, longer = {}, [], {}
     for code in range(sys.maxunicode + 1):
@@ -93,7 +97,8 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
             single[char] = folded
         else:
             longer[char] = folded
-    return "".join(single) + "".join(dropped), "".join(single.values()), longer
+    source = "".join(single) + "".join(longer) + "".join(dropped)
+    return source, "".join(single.values()) + EXPANDS * len(longer), longer
 
 
 def _hangul_jamo(char: Column) -> Column:
@@ -116,9 +121,6 @@ def fold_accents(col: Column) -> Column:
     character that expands (ligatures, fractions, Hangul) are rebuilt by character.
     """
     source, target, longer = _fold_tables()
-    simple = F.translate(col, source, target)
-    hangul = f"{chr(HANGUL[0])}-{chr(HANGUL[1])}"
-    expanding = "[" + "".join(rf"\x{{{ord(c):x}}}" for c in longer) + hangul + "]"
     table = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
 
     def expand(char: Column) -> Column:
@@ -127,14 +129,13 @@ def fold_accents(col: Column) -> Column:
             F.coalesce(F.try_element_at(table, char), char)
         )
 
-    by_char = F.array_join(
-        F.transform(F.regexp_extract_all(simple, F.lit("(?s)."), 0), expand), ""
-    )
-    return (
-        F.when(F.length(col) == F.octet_length(col), col)
-        .when(col.rlike(expanding), by_char)
-        .otherwise(simple)
-    )
+    def non_ascii(text: Column) -> Column:
+        simple = F.translate(text, source, target)
+        by_char = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), 0), expand)
+        expands = F.contains(simple, F.lit(EXPANDS)) | text.rlike(f"[{chr(HANGUL[0])}-{chr(HANGUL[1])}]")
+        return F.when(expands, F.translate(F.array_join(by_char, ""), source, target)).otherwise(simple)
+
+    return F.when(F.length(col) == F.octet_length(col), col).otherwise(non_ascii(col))
 
 
 def tokens(col: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from replyloom.sources import schemas
 
-BOM = "﻿"
+BOM = "\ufeff"
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
