@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from replyloom.functions.text import W, blank_if_null, normalize_text
+from replyloom.functions.text import W, blank_if_null, let, normalize_text
 
 
 @dataclass(frozen=True)
@@ -177,26 +177,19 @@ def weak_label(
     score's share of all scores, a stand-in for a model confidence.
     """
     names = F.array(*[F.lit(name) for name in lexicon.categories])
-    staged = df.withColumn("__normalized", normalize_text(blank_if_null(F.col(text))))
-    staged = staged.withColumn(
-        "__scores", F.array(*category_scores(F.col("__normalized"), lexicon))
-    ).withColumn("__best", F.array_max("__scores"))
-    ties = F.size(F.filter("__scores", lambda s: s == F.col("__best")))
-    total = F.aggregate("__scores", F.lit(0), lambda acc, s: acc + s)
-    best_name = F.get(names, (F.array_position("__scores", F.col("__best")) - 1).cast("int"))
-    return (
-        staged.withColumn(
-            "suggested_intent",
-            F.when(F.col("__best") == 0, F.lit(fallback))
-            .when(ties > 1, F.lit(ambiguous))
-            .otherwise(best_name),
-        )
-        .withColumn("suggestion_score", F.col("__best"))
-        .withColumn(
-            "suggestion_share",
-            F.when(F.col("__best") == 0, F.lit(0.0)).otherwise(
-                F.col("__best").cast("double") / total
-            ),
+
+    def verdict(scores: Column) -> Column:
+        best = F.array_max(scores)
+        ties = F.size(F.filter(scores, lambda s: s == best))
+        total = F.aggregate(scores, F.lit(0), lambda acc, s: acc + s)
+        winner = F.get(names, (F.array_position(scores, best) - 1).cast("int"))
+        name = F.when(best == 0, F.lit(fallback)).when(ties > 1, F.lit(ambiguous)).otherwise(winner)
+        share = F.when(best == 0, F.lit(0.0)).otherwise(best.cast("double") / total)
+        return F.struct(
+            name.alias("suggested_intent"), best.alias("suggestion_score"), share.alias("suggestion_share")
         )
-        .drop("__normalized", "__scores", "__best")
-    )
+
+    # One nested expression, so a filter on the label repeats it once and not per reference.
+    normalized = normalize_text(blank_if_null(F.col(text)))
+    found = let(normalized, lambda x: let(F.array(*category_scores(x, lexicon)), verdict))
+    return df.withColumn("__found", found).select(*df.columns, "__found.*")

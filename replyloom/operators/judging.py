@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from replyloom.functions.text import blank_if_null
+from replyloom.functions.text import blank_if_null, let
 from replyloom.sources.schemas import JUDGE_SCORES
 
 PROMPT = """Rate a draft answer to a customer against an earlier, similar case.
@@ -58,24 +58,27 @@ def judge_parse(responses: DataFrame, key: str = "sample_id", response: str = "r
     """
     fields = [f for f in JUDGE_SCORES.fields if f.name != "sample_id"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
-    parsed = responses.withColumn("__json", extract_json(F.col(response))).withColumn(
-        "__s", F.from_json("__json", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
-    )
-    scores = [F.col(f"__s.{f.name}").alias(f.name) for f in fields]
-    lacking = F.lit(False)
-    for f in fields:
-        lacking = lacking | F.col(f"__s.{f.name}").isNull()
-    inside = F.col("__s.unsupported_claim").between(0, 1)
-    for name in RATINGS:
-        inside = inside & F.col(f"__s.{name}").between(1, 5)
-    status = (
-        F.when(F.col("__json").isNull(), "no_json")
-        .when(F.col("__s._corrupt").isNotNull(), "malformed")
-        .when(lacking, "missing_field")
-        .when(~inside, "out_of_range")
-        .otherwise("ok")
-    )
-    return parsed.select(key, *scores, status.alias("status"))
+    answer = extract_json(F.col(response))
+    options = {"columnNameOfCorruptRecord": "_corrupt"}
+    parsed = F.from_json(answer, f"{schema}, _corrupt string", options)
+
+    def checked(s: Column) -> Column:
+        lacking = F.lit(False)
+        for f in fields:
+            lacking = lacking | s[f.name].isNull()
+        inside = s["unsupported_claim"].between(0, 1)
+        for name in RATINGS:
+            inside = inside & s[name].between(1, 5)
+        status = (
+            F.when(s.isNull(), "no_json")
+            .when(s["_corrupt"].isNotNull(), "malformed")
+            .when(lacking, "missing_field")
+            .when(~inside, "out_of_range")
+            .otherwise("ok")
+        )
+        return F.struct(*[s[f.name].alias(f.name) for f in fields], status.alias("status"))
+
+    return responses.select(key, let(parsed, checked).alias("r")).select(key, "r.*")
 
 
 def judge_means(scores: DataFrame) -> DataFrame:

@@ -82,6 +82,13 @@ def top_documents(queries: DataFrame, index: TextIndex, k: int, key: str, text:
     Documents that share no term are not listed. Order: similarity rounded to six digits
     descending, then doc_id.
     """
+    return _top_documents(queries, index, k, key, text)[0]
+
+
+def _top_documents(
+    queries: DataFrame, index: TextIndex, k: int, key: str, text: str
+) -> tuple[DataFrame, bool]:
+    """The ranking, and whether it is small enough to broadcast."""
     vectors = session.checkpoint(
         query_vectors(queries, index, key, text).withColumnRenamed("weight", "query_weight")
     )
@@ -126,7 +133,6 @@ def top_documents(queries: DataFrame, index: TextIndex, k: int, key: str, text:
         .where(F.col("part") + F.col("open") >= F.coalesce("kth", F.lit(0.0)) - SLACK)
         .select("query_id", "doc_id", "part")
     )
-    candidates = session.checkpoint(candidates)
     needed = candidates.select("query_id", "doc_id").join(
         hint(rest.select("query_id", "term", "query_weight")), "query_id"
     )
@@ -138,7 +144,9 @@ def top_documents(queries: DataFrame, index: TextIndex, k: int, key: str, text:
         "query_id", "doc_id", F.round("part", DIGITS).alias("similarity")
     )
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "doc_id")
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    top = scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    # A query with vectors has at least one row there and at most k rows here.
+    return top, small and session.is_small(vectors, session.BROADCAST_ROWS // k)
 
 
 def retrieve(
@@ -154,9 +162,9 @@ def retrieve(
     Returns (key, rank, doc_id, similarity, retrieved_...). A query without any shared
     term keeps one row with rank 1, similarity 0.0 and NULL document columns.
     """
-    top = session.checkpoint(top_documents(queries, index, k, key, text))
+    top, small = _top_documents(queries, index, k, key, text)
     docs = index.docs.select("doc_id", *[F.col(c).alias(f"retrieved_{c}") for c in payload])
-    found = docs.join(session.broadcast_if_small(top), "doc_id")
+    found = docs.join(F.broadcast(top) if small else top, "doc_id")
     ids = queries.select(F.col(key).alias("query_id"))
     return ids.join(found, "query_id", "left").select(
         F.col("query_id").alias(key),
