@@ -101,11 +101,16 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
     return source, "".join(single.values()) + EXPANDS * len(longer), longer
 
 
+def _literal_list(items: list[str]) -> Column:
+    """Constant array from one string literal; folded once at planning."""
+    return F.split(F.lit("\x00".join(items)), "\x00")
+
+
 def _hangul_jamo(char: Column) -> Column:
     """Decompose one Hangul syllable by its code point."""
-    lead = F.array(*[F.lit(chr(0x1100 + i)) for i in range(19)])
-    vowel = F.array(*[F.lit(chr(0x1161 + i)) for i in range(21)])
-    tail = F.array(F.lit(""), *[F.lit(chr(0x11A8 + i)) for i in range(27)])
+    lead = _literal_list([chr(0x1100 + i) for i in range(19)])
+    vowel = _literal_list([chr(0x1161 + i) for i in range(21)])
+    tail = _literal_list(["", *[chr(0x11A8 + i) for i in range(27)]])
     index = F.ascii(char) - F.lit(HANGUL[0])
     return F.concat(
         F.get(lead, F.floor(index / 588).cast("int")),
@@ -121,7 +126,7 @@ def fold_accents(col: Column) -> Column:
     character that expands (ligatures, fractions, Hangul) are rebuilt by character.
     """
     source, target, longer = _fold_tables()
-    table = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
+    table = F.map_from_arrays(_literal_list(list(longer)), _literal_list(list(longer.values())))
 
     def expand(char: Column) -> Column:
         is_hangul = char.between(chr(HANGUL[0]), chr(HANGUL[1]))

@@ -91,6 +91,12 @@ def classified(df: DataFrame) -> DataFrame:
     )
 
 
+def labelled_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages with their weak label as final_intent."""
+    texts = messages(spark, sf_dir).select("src_ord", F.col("text").alias("customer_text"))
+    return classified(texts).select("src_ord", "customer_text", F.col("predicted_intent").alias("final_intent"))
+
+
 def gold_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with quality labels: language as gold intent, unfit ones must escalate."""
     marks = table(spark, sf_dir, "labels")
