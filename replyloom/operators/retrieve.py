@@ -160,18 +160,24 @@ def retrieve(
     """Top-k documents with their payload as ``retrieved_*`` columns.
 
     Returns (key, rank, doc_id, similarity, retrieved_...). A query without any shared
-    term keeps one row with rank 1, similarity 0.0 and NULL document columns.
+    term keeps one row with rank 1, similarity 0.0 and NULL document columns. Queries with
+    the same text are looked up once.
     """
-    top, small = _top_documents(queries, index, k, key, text)
+    named = queries.select(F.col(key).alias("__key"), blank_if_null(F.col(text)).alias("query_text"))
+    once = named.groupBy("query_text").agg(F.min("__key").alias("query_id"))
+    top, small = _top_documents(once, index, k, "query_id", "query_text")
     docs = index.docs.select("doc_id", *[F.col(c).alias(f"retrieved_{c}") for c in payload])
     found = docs.join(F.broadcast(top) if small else top, "doc_id")
-    ids = queries.select(F.col(key).alias("query_id"))
-    return ids.join(found, "query_id", "left").select(
-        F.col("query_id").alias(key),
-        F.coalesce("rank", F.lit(1)).alias("rank"),
-        "doc_id",
-        F.coalesce("similarity", F.lit(0.0)).alias("similarity"),
-        *[f"retrieved_{c}" for c in payload],
+    return (
+        named.join(once, "query_text")
+        .join(found, "query_id", "left")
+        .select(
+            F.col("__key").alias(key),
+            F.coalesce("rank", F.lit(1)).alias("rank"),
+            "doc_id",
+            F.coalesce("similarity", F.lit(0.0)).alias("similarity"),
+            *[f"retrieved_{c}" for c in payload],
+        )
     )
 
 

@@ -173,11 +173,10 @@ def stratified_split(
     first; ``exclude`` removes rows whose text it holds. The shares are exact, yet rows
     are only compared with two positions per label, so the table is not sorted.
     """
-    pool = labelled_rows(df, label, text, taxonomy)
+    pool = keep_first(labelled_rows(df, label, text, taxonomy), [text], [F.col(key)])
     if exclude is not None:
         seen = exclude.select(strip(blank_if_null(F.col(text))).alias("__text")).distinct()
         pool = pool.join(seen, strip(F.col(text)) == F.col("__text"), "left_anti")
-    pool = keep_first(pool, [text], [F.col(key)])
     cuts = hash_cuts(pool, label, key, seed, percents)
     ends = cuts.groupBy(label).agg(
         *[

@@ -73,6 +73,7 @@ def corpus(seed, n_docs=120, n_queries=25):
     queries[n_queries + 1] = ""
     queries[n_queries + 2] = "the"
     queries[n_queries + 3] = docs[3]
+    queries[n_queries + 4] = docs[3]
     return docs, queries
 
 
