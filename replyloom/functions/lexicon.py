@@ -189,7 +189,7 @@ def weak_label(
             name.alias("suggested_intent"), best.alias("suggestion_score"), share.alias("suggestion_share")
         )
 
-    # One nested expression, so a filter on the label repeats it once and not per reference.
+    # A generator: evaluated once per row, whatever later filters and columns refer to.
     normalized = normalize_text(blank_if_null(F.col(text)))
     found = let(normalized, lambda x: let(F.array(*category_scores(x, lexicon)), verdict))
-    return df.withColumn("__found", found).select(*df.columns, "__found.*")
+    return df.select("*", F.inline(F.array(found)))

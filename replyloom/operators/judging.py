@@ -78,7 +78,8 @@ def judge_parse(responses: DataFrame, key: str = "sample_id", response: str = "r
         )
         return F.struct(*[s[f.name].alias(f.name) for f in fields], status.alias("status"))
 
-    return responses.select(key, let(parsed, checked).alias("r")).select(key, "r.*")
+    # A generator, so that each answer is parsed once.
+    return responses.select(key, F.inline(F.array(let(parsed, checked))))
 
 
 def judge_means(scores: DataFrame) -> DataFrame:

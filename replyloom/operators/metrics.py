@@ -87,21 +87,33 @@ def label_report(df: DataFrame, gold: str, predicted: str) -> DataFrame:
 
 def class_metrics(df: DataFrame, gold: str, predicted: str) -> DataFrame:
     """Per-label report plus the lines accuracy, macro avg and weighted avg."""
-    report = label_report(df, gold, predicted)
     names = ("precision", "recall", "f1")
-    support = F.sum("support")
-    macro = report.agg(*[F.avg(c).alias(c) for c in names], support.alias("support"))
-    weighted = report.agg(
-        *[ratio(F.sum(F.col(c) * F.col("support")), support).alias(c) for c in names],
-        support.alias("support"),
-    )
-    accuracy = report.agg(
-        *[ratio(F.sum("tp"), support).alias(c) for c in names], support.alias("support")
-    )
-    lines = report.drop("tp")
-    for name, line in (("accuracy", accuracy), ("macro avg", macro), ("weighted avg", weighted)):
-        lines = lines.unionByName(line.withColumn("label", F.lit(name)))
-    return lines.select("label", *[F.round(c, DIGITS).alias(c) for c in names], "support")
+    one, support = F.lit(1.0), F.col("support").cast("double")
+
+    def line(kind: int, label: Column, weight: Column, *values: str) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"),
+            label.alias("label"),
+            weight.alias("weight"),
+            *[F.col(v).alias(name) for name, v in zip(names, values)],
+            F.col("support"),
+        )
+
+    # Every line is a weighted mean over labels; accuracy is recall weighted by support.
+    lines = label_report(df, gold, predicted).select(
+        F.explode(
+            F.array(
+                line(0, F.col("label"), one, *names),
+                line(1, F.lit("accuracy"), support, "recall", "recall", "recall"),
+                line(2, F.lit("macro avg"), one, *names),
+                line(3, F.lit("weighted avg"), support, *names),
+            )
+        ).alias("l")
+    ).select("l.*")
+    weighted = [
+        F.round(ratio(F.sum(F.col(n) * F.col("weight")), F.sum("weight")), DIGITS).alias(n) for n in names
+    ]
+    return lines.groupBy("kind", "label").agg(*weighted, F.sum("support").alias("support")).drop("kind")
 
 
 def macro_f1(df: DataFrame, gold: str, predicted: str) -> DataFrame:
@@ -176,22 +188,30 @@ def rater_kappa(
     ).select("p.*")
     cells = pairs.groupBy("field", "a", "b").agg(F.count(F.lit(1)).alias("n"))
     # From here on one line per field and pair of ratings.
-    def margin(side: str) -> DataFrame:
-        return cells.groupBy("field", F.col(side).alias("rating")).agg(F.sum("n").alias(f"n_{side}"))
-
-    total = cells.groupBy("field").agg(
-        F.sum("n").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("same")
+    none = F.lit(0).cast("long")
+    same = F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(none)
+    margins = (
+        cells.select(
+            "field",
+            F.explode(
+                F.array(
+                    F.struct(F.col("a").alias("rating"), F.col("n").alias("by_a"), none.alias("by_b"), same.alias("same")),
+                    F.struct(F.col("b").alias("rating"), none.alias("by_a"), F.col("n").alias("by_b"), none.alias("same")),
+                )
+            ).alias("m"),
+        )
+        .select("field", "m.*")
+        .groupBy("field", "rating")
+        .agg(*[F.sum(c).alias(c) for c in ("by_a", "by_b", "same")])
     )
-    chance = (
-        margin("a")
-        .join(margin("b"), ["field", "rating"])
-        .groupBy("field")
-        .agg(F.sum(F.col("n_a").cast("double") * F.col("n_b")).alias("chance"))
+    totals = margins.groupBy("field").agg(
+        F.sum("by_a").alias("n"),
+        F.sum("same").alias("same"),
+        F.sum(F.col("by_a").cast("double") * F.col("by_b")).alias("chance"),
     )
     n = F.col("n").cast("double")
-    observed = F.col("same") / n
-    expected = F.coalesce("chance", F.lit(0.0)) / (n * n)
-    return total.join(chance, "field", "left").select(
+    observed, expected = F.col("same") / n, F.col("chance") / (n * n)
+    return totals.select(
         "field", "n", F.round(F.try_divide(observed - expected, 1.0 - expected), DIGITS).alias("kappa")
     )
 
