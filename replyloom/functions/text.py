@@ -196,3 +196,13 @@ def term_counts(terms: Column) -> Column:
 def text_terms(col: Column, ngram_max: int) -> Column:
     """(term, tf) array of one text."""
     return term_counts(ngrams(tokens(blank_if_null(col)), ngram_max))
+
+
+def signature(col: Column) -> Column:
+    """The words of a text joined with spaces; equal signatures mean equal terms."""
+    return F.array_join(tokens(blank_if_null(col)), " ")
+
+
+def signature_terms(col: Column, ngram_max: int) -> Column:
+    """(term, tf) array of a signature."""
+    return F.when(col != "", term_counts(ngrams(F.split(col, " "), ngram_max)))

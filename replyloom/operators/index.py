@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from replyloom import session
-from replyloom.functions.text import blank_if_null, is_blank, strip, text_terms
+from replyloom.functions.text import (
+    blank_if_null,
+    is_blank,
+    signature,
+    signature_terms,
+    strip,
+    text_terms,
+)
 from replyloom.operators.rows import SALTS, keep_first
 from replyloom.sources.tables import write_table
 
@@ -53,10 +60,12 @@ def term_entries(docs: DataFrame, key: str, text: str, ngram_max: int) -> DataFr
 
 
 def term_stats(entries: DataFrame) -> DataFrame:
-    """Collection and document frequency per term; summed per task before the shuffle."""
-    return entries.groupBy("term").agg(
-        F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df")
-    )
+    """Collection and document frequency per term; summed per task before the shuffle.
+
+    With a column ``copies`` each entry stands for that many documents.
+    """
+    copies = F.col("copies") if "copies" in entries.columns else F.lit(1).cast("long")
+    return entries.groupBy("term").agg(F.sum(F.col("tf") * copies).alias("cf"), F.sum(copies).alias("df"))
 
 
 def select_vocabulary(
@@ -123,20 +132,32 @@ def weight_vectors(entries: DataFrame, terms: DataFrame, key: str, carry: tuple[
 class TextIndex:
     """Index tables.
 
-    ``docs``: doc_id and the payload; ``terms``: term, cf, df, idf, max_weight;
-    ``postings``: term, doc_id, weight, slices (parts a hot term is split into).
-    ``bounded`` says that the number of terms has a fixed bound that allows a broadcast.
+    ``docs``: doc_id, the payload and content_key (documents with equal words share it);
+    ``groups``: doc_id of the first document of each content_key, and its copies;
+    ``terms``: term, cf, df, idf, max_weight; ``postings``: term, doc_id, weight, slices
+    (parts a hot term is split into), for the first document of each group only.
+    ``bounded`` says that the number of terms has a fixed bound that allows a broadcast,
+    ``has_copies`` that some group has more than one document.
     """
 
     docs: DataFrame
+    groups: DataFrame
     terms: DataFrame
     postings: DataFrame
     ngram_max: int
     bounded: bool
+    has_copies: bool
 
     def lookup_terms(self) -> DataFrame:
         return F.broadcast(self.terms) if self.bounded else self.terms
 
+    def document_weights(self) -> DataFrame:
+        """(doc_id, term, weight) of every document, copies included."""
+        first = self.groups.select(F.col("doc_id").alias("first_id"), "content_key")
+        members = self.docs.select("doc_id", "content_key").join(first, "content_key")
+        postings = self.postings.select(F.col("doc_id").alias("first_id"), "term", "weight")
+        return members.join(postings, "first_id").select("doc_id", "term", "weight")
+
     def counts(self) -> DataFrame:
         """(stage, n) for documents and features."""
         parts = [("documents", self.docs), ("features", self.terms)]
@@ -148,36 +169,28 @@ class TextIndex:
 
     def save(self, path: str) -> None:
         """Write the tables; postings sorted by term so that a scan can skip row groups."""
-        write_table(self.docs, os.path.join(path, "docs"))
-        write_table(self.terms, os.path.join(path, "terms"))
+        for name in ("docs", "groups", "terms"):
+            write_table(getattr(self, name), os.path.join(path, name))
         ordered = self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
         write_table(ordered, os.path.join(path, "postings"))
         meta = self.docs.sparkSession.createDataFrame(
-            [(self.ngram_max, self.bounded)], "ngram_max int, bounded boolean"
+            [(self.ngram_max, self.bounded, self.has_copies)],
+            "ngram_max int, bounded boolean, has_copies boolean",
         )
         write_table(meta, os.path.join(path, "meta"))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TextIndex:
-        def read(name: str) -> DataFrame:
-            return spark.read.parquet(os.path.join(path, name))
-
-        meta = read("meta").first()
-        return cls(read("docs"), read("terms"), read("postings"), meta.ngram_max, meta.bounded)
+        tables = [spark.read.parquet(os.path.join(path, n)) for n in ("docs", "groups", "terms", "postings")]
+        return cls(*tables, *spark.read.parquet(os.path.join(path, "meta")).first())
 
 
 def index_terms(
-    docs: DataFrame,
-    key: str,
-    text: str,
-    ngram_max: int = 2,
-    min_df: int = MIN_DF,
-    max_features: int | None = MAX_FEATURES,
+    entries: DataFrame, n_docs: Column, min_df: int = MIN_DF, max_features: int | None = MAX_FEATURES
 ) -> DataFrame:
-    """(term, cf, df, idf) of a corpus."""
-    stats = term_stats(term_entries(docs, key, text, ngram_max))
-    n_docs = docs.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
-    return select_vocabulary(stats, min_df, max_features).withColumn("idf", idf(n_docs, F.col("df")))
+    """(term, cf, df, idf) from term entries of ``n_docs`` documents."""
+    chosen = select_vocabulary(term_stats(entries), min_df, max_features)
+    return chosen.withColumn("idf", idf(n_docs, F.col("df")))
 
 
 def build_index(
@@ -190,21 +203,34 @@ def build_index(
 ) -> TextIndex:
     """Fit the vocabulary and materialise the index tables of ``docs``.
 
-    ``key`` must be unique. The documents are kept once so that the passes over them see
-    the same rows; terms and postings are written to the checkpoint folder as well.
+    ``key`` must be unique. Documents with the same words have the same vector, however
+    many they are: they are grouped, counted with their number in the statistics and
+    stored once, so that a text copied very often costs a query no more than any other.
     """
-    docs = session.checkpoint(docs.withColumnRenamed(key, "doc_id"))
+    keyed = docs.withColumnRenamed(key, "doc_id").withColumn("content_key", F.md5(signature(F.col(text))))
+    docs = session.checkpoint(keyed)
+    groups = session.checkpoint(
+        docs.select("doc_id", signature(F.col(text)).alias("words"))
+        .groupBy("words")
+        .agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    )
+    entries = groups.select(
+        "doc_id", "copies", F.explode(signature_terms(F.col("words"), ngram_max)).alias("e")
+    ).select("doc_id", "copies", "e.term", "e.tf")
+    n_docs = groups.agg(F.sum("copies").alias("n")).scalar()
+    terms = session.checkpoint(index_terms(entries, n_docs, min_df, max_features))
     bounded = max_features is not None and max_features <= session.BROADCAST_ROWS
-    terms = session.checkpoint(index_terms(docs, "doc_id", text, ngram_max, min_df, max_features))
     lookup = F.broadcast(terms) if bounded else terms
-    entries = term_entries(docs, "doc_id", text, ngram_max)
     vectors = weight_vectors(entries, lookup, "doc_id", carry=("df",))
     slices = F.ceil(F.col("df") / F.lit(SLICE_ROWS)).cast("int").alias("slices")
     postings = session.checkpoint(vectors.select("term", "doc_id", "weight", slices))
     bounds = postings.groupBy("term").agg(F.max("weight").alias("max_weight"))
-    return TextIndex(docs, session.checkpoint(terms.join(bounds, "term")), postings, ngram_max, bounded)
-
-
-def with_docs(index: TextIndex, docs: DataFrame) -> TextIndex:
-    """The same index with another payload table."""
-    return replace(index, docs=docs)
+    return TextIndex(
+        docs,
+        groups.select("doc_id", F.md5("words").alias("content_key"), "copies"),
+        session.checkpoint(terms.join(bounds, "term")),
+        postings,
+        ngram_max,
+        bounded,
+        not groups.where(F.col("copies") > 1).isEmpty(),
+    )

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from replyloom import session
-from replyloom.functions.text import blank_if_null
+from replyloom.functions.text import signature
 from replyloom.operators.index import SLICE_ROWS, TextIndex, term_entries, weight_vectors
 from replyloom.operators.rows import top_n, unit_median
 
@@ -76,19 +76,15 @@ def _probe_terms(vectors: DataFrame, k: int) -> DataFrame:
     return vectors.withColumn("reached", reached).where(F.col("reached") < PROBE_FACTOR * k)
 
 
-def top_documents(queries: DataFrame, index: TextIndex, k: int, key: str, text: str) -> DataFrame:
-    """(query_id, doc_id, similarity, rank) for up to ``k`` documents per query.
+def top_groups(
+    queries: DataFrame, index: TextIndex, k: int, key: str, text: str
+) -> tuple[DataFrame, bool]:
+    """(query_id, doc_id, similarity) of the ``k`` best groups per query, by their first
+    document, and whether that table is small enough to broadcast.
 
-    Documents that share no term are not listed. Order: similarity rounded to six digits
+    Groups that share no term are not listed. Order: similarity rounded to six digits
     descending, then doc_id.
     """
-    return _top_documents(queries, index, k, key, text)[0]
-
-
-def _top_documents(
-    queries: DataFrame, index: TextIndex, k: int, key: str, text: str
-) -> tuple[DataFrame, bool]:
-    """The ranking, and whether it is small enough to broadcast."""
     vectors = session.checkpoint(
         query_vectors(queries, index, key, text).withColumnRenamed("weight", "query_weight")
     )
@@ -143,10 +139,34 @@ def _top_documents(
     scores = _sum_parts(candidates.unionByName(added)).select(
         "query_id", "doc_id", F.round("part", DIGITS).alias("similarity")
     )
-    order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "doc_id")
-    top = scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     # A query with vectors has at least one row there and at most k rows here.
-    return top, small and session.is_small(vectors, session.BROADCAST_ROWS // k)
+    return _best(scores, k).drop("rank"), small and session.is_small(vectors, session.BROADCAST_ROWS // k)
+
+
+def _best(scores: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "doc_id")
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _members(top: DataFrame, index: TextIndex, k: int, small: bool) -> DataFrame:
+    """Replace each group by its documents, as far as they can be among the ``k`` best.
+
+    Only the first k documents of one of the k best groups can be, so of a group of any
+    size each task passes on k rows at most.
+    """
+    hint = F.broadcast if small else (lambda df: df)
+    keyed = index.groups.select("doc_id", "content_key").join(hint(top), "doc_id").drop("doc_id")
+    keyed = session.checkpoint(keyed)
+    wanted = keyed.select("content_key").distinct()
+    first = Window.partitionBy("content_key").orderBy("doc_id")
+    members = (
+        index.docs.select("doc_id", "content_key")
+        .join(hint(wanted), "content_key", "left_semi")
+        .withColumn("place", F.row_number().over(first))
+        .where(F.col("place") <= k)
+        .drop("place")
+    )
+    return keyed.join(members, "content_key").select("query_id", "doc_id", "similarity")
 
 
 def retrieve(
@@ -161,11 +181,12 @@ def retrieve(
 
     Returns (key, rank, doc_id, similarity, retrieved_...). A query without any shared
     term keeps one row with rank 1, similarity 0.0 and NULL document columns. Queries with
-    the same text are looked up once.
+    the same words are looked up once.
     """
-    named = queries.select(F.col(key).alias("__key"), blank_if_null(F.col(text)).alias("query_text"))
+    named = queries.select(F.col(key).alias("__key"), signature(F.col(text)).alias("query_text"))
     once = named.groupBy("query_text").agg(F.min("__key").alias("query_id"))
-    top, small = _top_documents(once, index, k, "query_id", "query_text")
+    top, small = top_groups(once, index, k, "query_id", "query_text")
+    top = _best(_members(top, index, k, small) if index.has_copies else top, k)
     docs = index.docs.select("doc_id", *[F.col(c).alias(f"retrieved_{c}") for c in payload])
     found = docs.join(F.broadcast(top) if small else top, "doc_id")
     return (

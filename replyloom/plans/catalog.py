@@ -237,8 +237,8 @@ def _pair_index(spark: SparkSession, sf_dir: str) -> index.TextIndex:
 
 @query
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = _pair_index(spark, sf_dir)
-    return built.postings.select("doc_id", "term", F.round("weight", 6).alias("weight"))
+    built = index.build_index(index.corpus_full(views.documents(spark, sf_dir)))
+    return built.document_weights().withColumn("weight", F.round("weight", 6))
 
 
 @query
@@ -265,6 +265,14 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _benchmark_matches(spark, sf_dir, 5).select("query_id", "rank", "doc_id", "similarity")
 
 
+@query
+def cosine_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts against all documents, copies of other sources included."""
+    built = index.build_index(index.corpus_full(views.documents(spark, sf_dir)))
+    found = retrieve.retrieve(views.benchmark(spark, sf_dir), built, 3, payload=("brand_response",))
+    return found.select("query_id", "rank", "doc_id", "similarity", "retrieved_brand_response")
+
+
 @query
 def retrieval_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.retrieval_report(_benchmark_matches(spark, sf_dir, 1))

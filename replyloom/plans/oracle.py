@@ -127,6 +127,11 @@ def split(extra: str = "") -> str:
       WHEN r <= (85 * n + 50) // 100 THEN 'validation' ELSE 'test' END AS split FROM placed)"""
 
 
+FULL_CORPUS = f"""{DOCS},
+    corpus AS (SELECT * FROM docs
+      WHERE {strip("customer_text")} <> '' AND {strip("brand_response")} <> ''
+      QUALIFY row_number() OVER (PARTITION BY customer_text, brand_response ORDER BY src_ord) = 1)"""
+
 DOC_CORPUS = f"""{DOCS}, {golden(200)},
     corpus AS (SELECT * FROM docs
       WHERE {strip("customer_text")} NOT IN (SELECT {strip("customer_text")} FROM golden)
@@ -354,25 +359,24 @@ ORACLE: dict[str, str] = {
     "split_overlap": f"""WITH {DOCS}, {golden(200)}, {split()}
       SELECT count(*) AS overlap FROM (SELECT {strip("customer_text")} FROM split
         INTERSECT SELECT {strip("customer_text")} FROM golden)""",
-    "corpus_full": f"""WITH {DOCS} SELECT sample_id, customer_text, brand_response FROM docs
-      WHERE {strip("customer_text")} <> '' AND {strip("brand_response")} <> ''
-      QUALIFY row_number() OVER (PARTITION BY customer_text, brand_response ORDER BY src_ord) = 1""",
+    "corpus_full": f"WITH {FULL_CORPUS} SELECT sample_id, customer_text, brand_response FROM corpus",
     "corpus_leakage_free": f"WITH {DOC_CORPUS} SELECT sample_id, customer_text FROM corpus",
     "term_stats": f"""WITH {PAIR_CORPUS}, {term_ctes("d", "corpus", "src_ord", "customer_text")}
       SELECT term, sum(tf)::BIGINT AS cf, count(*) AS df FROM d_tf GROUP BY term""",
     "vocab_select": f"""WITH {DOC_CORPUS}, {term_ctes("d", "corpus", "src_ord", "customer_text")},
       {vocabulary("corpus", 5000)} SELECT term, cf, df FROM vocab""",
-    "tfidf_weights": f"""WITH {PAIR_CORPUS}, {term_ctes("d", "corpus", "src_ord", "customer_text")},
+    "tfidf_weights": f"""WITH {FULL_CORPUS}, {term_ctes("d", "corpus", "src_ord", "customer_text")},
       {vocabulary("corpus", 200000)}, {weights("d")} SELECT id AS doc_id, term, round(w, 6) AS weight FROM d_w""",
-    "index_counts": f"""WITH {DOCS}, corpus AS (SELECT DISTINCT ON (customer_text, brand_response) * FROM docs
-        WHERE {strip("customer_text")} <> '' AND {strip("brand_response")} <> ''),
-      {term_ctes("d", "corpus", "src_ord", "customer_text")}, {vocabulary("corpus", 200000)}
-      SELECT 'documents' AS stage, count(*) AS n FROM corpus
+    "index_counts": f"""WITH {FULL_CORPUS}, {term_ctes("d", "corpus", "src_ord", "customer_text")},
+      {vocabulary("corpus", 200000)} SELECT 'documents' AS stage, count(*) AS n FROM corpus
       UNION ALL SELECT 'features', count(*) FROM vocab""",
     "cosine_top1": f"""WITH {PAIR_CORPUS}, {matches("corpus", "waiting", "query_id", 1)}
       SELECT query_id, doc_id, similarity, retrieved_customer_text, retrieved_brand_response FROM found""",
     "cosine_topk": f"""WITH {DOC_CORPUS}, bench AS (SELECT item_id AS query_id, text AS customer_text FROM benchmark),
       {matches("corpus", "bench", "query_id", 5)} SELECT query_id, rank, doc_id, similarity FROM found""",
+    "cosine_full": f"""WITH {FULL_CORPUS}, bench AS (SELECT item_id AS query_id, text AS customer_text FROM benchmark),
+      {matches("corpus", "bench", "query_id", 3)}
+      SELECT query_id, rank, doc_id, similarity, retrieved_brand_response FROM found""",
     "retrieval_stats": f"""WITH {DOC_CORPUS}, bench AS (SELECT item_id AS query_id, text AS customer_text FROM benchmark),
       {matches("corpus", "bench", "query_id", 1)} SELECT count(*) AS queries, round(avg(similarity), 6) AS mean_similarity,
       max(similarity) AS max_similarity, min(similarity) AS min_similarity,

@@ -120,6 +120,18 @@ def test_ties_go_to_the_smaller_id(spark):
     assert collected(retrieve.retrieve(q, index.build_index(d), 2))[1] == [(4, 1.0), (9, 1.0)]
 
 
+def test_equal_words_are_one_vector_and_many_documents(spark):
+    docs = {5: "Red, apple!", 3: "red apple", 8: "RED apple", 1: "green pear", 9: "green pear"}
+    d, q = frames(spark, docs, {1: "red apple", 2: "Red apple?", 3: "apple pear"})
+    built = index.build_index(d)
+    assert built.has_copies and built.postings.select("doc_id").distinct().count() == 2
+    got = collected(retrieve.retrieve(q, built, 2))
+    assert got[1] == got[2] == [(3, 1.0), (5, 1.0)]
+    assert [i for i, _ in collected(retrieve.retrieve(q, built, 9))[3]] == [1, 9, 3, 5, 8]
+    assert built.document_weights().count() == 15
+    assert {r.stage: r.n for r in built.counts().collect()} == {"documents": 5, "features": 6}
+
+
 def test_no_shared_term_keeps_the_query(spark):
     d, q = frames(spark, {1: "red apple", 2: "red apple"}, {5: "zz yy"})
     row = retrieve.retrieve(q, index.build_index(d), 3).first()
