@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from replyloom import session
 from replyloom.functions.lexicon import INTENTS
 from replyloom.functions.text import blank_if_null, is_blank, normalize_text, strip
 from replyloom.operators.rows import exact_n, hash_cuts, hash_order, keep_first, number_rows
@@ -177,6 +178,8 @@ def stratified_split(
     if exclude is not None:
         seen = exclude.select(strip(blank_if_null(F.col(text))).alias("__text")).distinct()
         pool = pool.join(seen, strip(F.col(text)) == F.col("__text"), "left_anti")
+    # Deduplicated once; the passes below read the kept rows.
+    pool = session.checkpoint(pool)
     cuts = hash_cuts(pool, label, key, seed, percents)
     ends = cuts.groupBy(label).agg(
         *[
