@@ -13,10 +13,8 @@ from pyspark.sql.window import Window
 
 from replyloom.session import checkpoint
 
+# Parts in which a bounded but long prefix is ordered before the final merge.
 SALTS = 32
-# A filter on row_number up to this bound is also applied before the shuffle
-# (spark.sql.optimizer.windowGroupLimitThreshold).
-GROUP_LIMIT = 1000
 
 
 def _ranked(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column], n: int) -> DataFrame:
@@ -45,8 +43,13 @@ def hash_order(seed: int | Column, key: Column) -> Column:
 
 
 def exact_n(df: DataFrame, keys: Sequence[str], n: int, order: Sequence[str]) -> DataFrame:
-    """The first ``n`` rows per key, ranked within salted parts first."""
-    spread = df.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
+    """The first ``n`` rows per key, ranked within salted parts first.
+
+    A key is spread over all shuffle partitions. Up to the engine's group limit (1000) each
+    task also drops rows beyond ``n`` before the shuffle.
+    """
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = df.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
     by_name = [F.col(c) for c in order]
     parts = _ranked(spread, [*keys, "__salt"], by_name, n)
     return _ranked(parts, keys, by_name, n).drop("__salt", "__rank")

@@ -40,6 +40,14 @@ def normal(columns: list[str], rows: list[tuple]) -> tuple[list[str], list[tuple
     return [columns[i] for i in order], sorted(cells, key=repr)
 
 
+def family(name: str) -> str:
+    """Type family of a column on either side."""
+    name = name.lower()
+    if name in ("int", "integer", "bigint", "smallint", "tinyint"):
+        return "integer"
+    return {"varchar": "string"}.get(name, name)
+
+
 def compare(spark, con: duckdb.DuckDBPyConnection, name: str, sf_dir: str) -> str:
     """Empty when both sides agree, else the first difference."""
     df = contract.queries()[name](spark, sf_dir)
@@ -53,6 +61,10 @@ def compare(spark, con: duckdb.DuckDBPyConnection, name: str, sf_dir: str) -> st
         return f"columns {got[0]} != {want[0]}"
     if len(got[1]) != len(want[1]):
         return f"rows {len(got[1])} != {len(want[1])}"
+    kinds = {c: family(t) for c, t in df.dtypes}
+    other = {d[0]: family(str(d[1])) for d in result.description}
+    if kinds != other:
+        return f"types {sorted(set(kinds.items()) ^ set(other.items()))}"
     for a, b in zip(got[1], want[1]):
         if a != b:
             return f"{str(a)[:400]} != {str(b)[:400]}"
