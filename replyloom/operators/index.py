@@ -45,6 +45,15 @@ def corpus_leakage_free(pairs: DataFrame, golden: DataFrame, order: str = "src_o
     return once.join(held_out, strip(F.col("customer_text")) == F.col("__text"), "left_anti")
 
 
+def exclusion_counts(golden: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(stage, n): distinct golden texts excluded and documents that remain."""
+    texts = golden.agg(F.count_distinct(strip(blank_if_null(F.col("customer_text")))).alias("n"))
+    left = corpus.agg(F.count(F.lit(1)).alias("n"))
+    return texts.select(F.lit("golden_texts").alias("stage"), "n").unionByName(
+        left.select(F.lit("documents").alias("stage"), "n")
+    )
+
+
 def _filled(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({c: blank_if_null(F.col(c)) for c in ("customer_text", "brand_response")})
 

@@ -213,6 +213,11 @@ def corpus_leakage_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leakage_free(spark, sf_dir).select("sample_id", "customer_text")
 
 
+@query
+def exclusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.exclusion_counts(_golden(spark, sf_dir), _leakage_free(spark, sf_dir))
+
+
 def _pair_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     waiting = views.open_messages(spark, sf_dir)
     return index.corpus_leakage_free(views.pairs(spark, sf_dir), waiting)

@@ -361,6 +361,9 @@ ORACLE: dict[str, str] = {
         INTERSECT SELECT {strip("customer_text")} FROM golden)""",
     "corpus_full": f"WITH {FULL_CORPUS} SELECT sample_id, customer_text, brand_response FROM corpus",
     "corpus_leakage_free": f"WITH {DOC_CORPUS} SELECT sample_id, customer_text FROM corpus",
+    "exclusion_counts": f"""WITH {DOC_CORPUS} SELECT 'golden_texts' AS stage,
+      count(DISTINCT {strip("customer_text")}) AS n FROM golden
+      UNION ALL SELECT 'documents', count(*) FROM corpus""",
     "term_stats": f"""WITH {PAIR_CORPUS}, {term_ctes("d", "corpus", "src_ord", "customer_text")}
       SELECT term, sum(tf)::BIGINT AS cf, count(*) AS df FROM d_tf GROUP BY term""",
     "vocab_select": f"""WITH {DOC_CORPUS}, {term_ctes("d", "corpus", "src_ord", "customer_text")},

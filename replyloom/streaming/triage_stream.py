@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -58,4 +59,7 @@ def stream_triage(
     """Process every file available now and return all decisions kept so far."""
     query = start_triage(read_messages(spark, path, schema, max_files), decide, target, state)
     query.awaitTermination()
-    return read_decisions(spark, target)
+    try:
+        return read_decisions(spark, target)
+    except AnalysisException:  # no file has arrived yet
+        return decide(spark.createDataFrame([], schema))

@@ -24,7 +24,9 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     def run():
         return triage_stream.stream_triage(spark, source, messages.schema, decide, target, state, max_files=1)
 
-    messages.where("query_id < 6").repartition(3).write.parquet(source)
+    (tmp_path / "in").mkdir()
+    assert run().count() == 0
+    messages.where("query_id < 6").repartition(3).write.mode("append").parquet(source)
     first = run().collect()
     assert len(first) == 6
     messages.where("query_id >= 6").repartition(2).write.mode("append").parquet(source)
