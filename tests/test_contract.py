@@ -22,13 +22,13 @@ def con():
 
 def test_names_match():
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert set(contract.queries()) - set(contract.oracle_sql()) == SLOW
+    assert set(contract.QUERIES) - set(contract.oracle_sql()) == SLOW
 
 
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(contract.QUERIES) - SLOW))
 def test_query(spark, con, name):
     assert compare(spark, con, name, SF_DIR) == ""
