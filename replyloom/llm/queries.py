@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from replyloom.llm import mixing, quality_rules, sharding
+from replyloom.llm import contamination, mixing, quality_rules, sharding, simhash
 from replyloom.llm.common import table
 
 
+def op4_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contamination_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rule_table(table(spark, sf_dir, "documents"))
 
@@ -22,7 +26,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(table(spark, sf_dir, "documents"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_table(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_quality_rules, op7_mixing, op8_sharding)
+    f.__name__: f
+    for f in (op4_contamination, op6_quality_rules, op7_mixing, op8_sharding, op10_simhash)
 }
 ORACLE: dict[str, str] = {}
