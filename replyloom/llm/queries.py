@@ -6,14 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from replyloom.llm import contamination, mixing, quality_rules, sharding, simhash
+from replyloom.llm import contamination, lines, mixing, quality_model, quality_rules, sharding, simhash, toxicity, urls
 from replyloom.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_classes(table(spark, sf_dir, "documents"))
+
+
 def op4_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contamination_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_table(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rule_table(table(spark, sf_dir, "documents"))
 
@@ -32,6 +48,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op4_contamination, op6_quality_rules, op7_mixing, op8_sharding, op10_simhash)
+    for f in (
+        op1_toxicity,
+        op2_quality_model,
+        op3_line_dedup,
+        op4_contamination,
+        op5_url_filter,
+        op6_quality_rules,
+        op7_mixing,
+        op8_sharding,
+        op10_simhash,
+    )
 }
 ORACLE: dict[str, str] = {}
