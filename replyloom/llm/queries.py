@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from replyloom.llm import contamination, lines, mixing, quality_model, quality_rules, sharding, simhash, toxicity, urls
+from replyloom.llm import contamination, lines, mixing, quality_model, quality_rules, sharding, simhash, suffix_dedup, toxicity, urls
 from replyloom.llm.common import table
+from replyloom.llm.oracle import ORACLE  # noqa: F401
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +43,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_table(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_table(table(spark, sf_dir, "documents"))
 
@@ -57,7 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_quality_rules,
         op7_mixing,
         op8_sharding,
+        op9_suffix_dedup,
         op10_simhash,
     )
 }
-ORACLE: dict[str, str] = {}

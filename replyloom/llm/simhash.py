@@ -17,6 +17,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from replyloom.llm.common import carry_along, text_of
 from replyloom.llm.components import components
@@ -49,7 +50,7 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _fingerprints(texts: pd.Series) -> pd.Series:
     made = np.fromiter((fingerprint(t) for t in texts), np.uint64, len(texts))
     return pd.Series(made.view(np.int64))
