@@ -54,14 +54,30 @@ def extract_json(response: Column) -> Column:
 def judge_parse(responses: DataFrame, key: str = "sample_id", response: str = "response") -> DataFrame:
     """Scores per answer with ``status``: ok, no_json, malformed, missing_field or out_of_range.
 
-    A bad answer becomes a row with a status instead of stopping the batch.
+    A bad answer becomes a row with a status instead of stopping the batch. Whole numbers may
+    be written with a decimal point, and the flag as true or false; a number that is not whole
+    is malformed.
     """
     fields = [f for f in JUDGE_SCORES.fields if f.name != "sample_id"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
+    numbers = [f.name for f in fields if f.name in (*RATINGS, "unsupported_claim")]
+    schema = ", ".join(f"{f.name} string" for f in fields)
     answer = extract_json(F.col(response))
     options = {"columnNameOfCorruptRecord": "_corrupt"}
     parsed = F.from_json(answer, f"{schema}, _corrupt string", options)
 
+    def number(text: Column) -> Column:
+        spelt = F.when(text == "true", "1").when(text == "false", "0").otherwise(text)
+        value = spelt.try_cast("double")
+        return F.when(value == F.floor(value), value.try_cast("int"))
+
+    def typed(s: Column) -> Column:
+        unread = F.lit(False)
+        for name in numbers:
+            unread = unread | (s[name].isNotNull() & number(s[name]).isNull())
+        values = [(number(s[f.name]) if f.name in numbers else s[f.name]).alias(f.name) for f in fields]
+        corrupt = F.coalesce(s["_corrupt"], F.when(unread, answer))
+        return F.when(s.isNotNull(), F.struct(*values, corrupt.alias("_corrupt")))
+
     def checked(s: Column) -> Column:
         lacking = F.lit(False)
         for f in fields:
@@ -79,7 +95,7 @@ def judge_parse(responses: DataFrame, key: str = "sample_id", response: str = "r
         return F.struct(*[s[f.name].alias(f.name) for f in fields], status.alias("status"))
 
     # A generator, so that each answer is parsed once.
-    return responses.select(key, F.inline(F.array(let(parsed, checked))))
+    return responses.select(key, F.inline(F.array(let(let(parsed, typed), checked))))
 
 
 def judge_means(scores: DataFrame) -> DataFrame:

@@ -40,11 +40,13 @@ def confusion_counts(df: DataFrame, gold: str, predicted: str) -> DataFrame:
 
 
 def confusion_matrix(df: DataFrame, gold: str, predicted: str, labels: Sequence[str]) -> DataFrame:
-    """Cross-tabulation with one column per label and zero cells."""
+    """Cross-tabulation with one column per label, ``other`` for all the rest, and zero cells."""
+    listed = F.when(F.col("predicted").isin(*labels), F.col("predicted")).otherwise("other")
     return (
         confusion_counts(df, gold, predicted)
+        .withColumn("predicted", listed)
         .groupBy("gold")
-        .pivot("predicted", list(labels))
+        .pivot("predicted", list(dict.fromkeys([*labels, "other"])))
         .sum("n")
         .na.fill(0)
     )
@@ -135,8 +137,8 @@ def binary_rates(tp: Column, fp: Column, fn: Column, total: Column) -> dict[str,
 
 
 def binary_metrics(df: DataFrame, gold: Column, predicted: Column) -> DataFrame:
-    """One row: precision, recall, F1, share escalated and share handled."""
-    flags = df.select(gold.alias("g"), predicted.alias("p"))
+    """One row: precision, recall, F1, share escalated and share handled; NULL flags count as false."""
+    flags = df.select(F.coalesce(gold, F.lit(False)).alias("g"), F.coalesce(predicted, F.lit(False)).alias("p"))
     counts = flags.agg(
         F.count_if(F.col("g") & F.col("p")).alias("tp"),
         F.count_if(~F.col("g") & F.col("p")).alias("fp"),
@@ -238,7 +240,7 @@ def threshold_sweep(
     confidence_grid: Sequence[float] = CONFIDENCE_GRID,
     similarity_grid: Sequence[float] = SIMILARITY_GRID,
 ) -> DataFrame:
-    """Escalation metrics for every pair of thresholds.
+    """Escalation metrics for every pair of thresholds; a NULL score is below none of them.
 
     A row's outcome depends only on how many thresholds each of its scores passes, so the
     rows are first counted per such cell; only cells meet the grid.
@@ -246,8 +248,8 @@ def threshold_sweep(
     cells = scored.groupBy(
         _steps_passed(F.col(confidence), confidence_grid).alias("c"),
         _steps_passed(F.col(similarity), similarity_grid).alias("s"),
-        F.col(always).alias("always"),
-        F.col(gold).alias("gold"),
+        F.coalesce(F.col(always), F.lit(False)).alias("always"),
+        F.coalesce(F.col(gold), F.lit(False)).alias("gold"),
     ).agg(F.count(F.lit(1)).alias("n"))
     points = F.array(
         *[
@@ -258,7 +260,8 @@ def threshold_sweep(
     )
     graded = cells.withColumn("at", F.explode(points))
     # The score is below threshold number i exactly when it passes at most i of them.
-    escalated = F.col("always") | (F.col("c") <= F.col("at.ci")) | (F.col("s") <= F.col("at.si"))
+    below = [F.coalesce(F.col(x) <= F.col(f"at.{x}i"), F.lit(False)) for x in ("c", "s")]
+    escalated = F.col("always") | below[0] | below[1]
     graded = graded.withColumn("p", escalated).groupBy("at.ct", "at.st")
 
     def total(condition: Column) -> Column:

@@ -390,7 +390,7 @@ def macro_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = [*views.LANGUAGES, "ambiguous", "none"]
+    labels = [*views.LANGUAGES, "ambiguous"]  # what is not listed counts as other
     return metrics.confusion_matrix(_weak(spark, sf_dir), "final_intent", "suggested_intent", labels)
 
 
@@ -420,6 +420,12 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sweep(spark, sf_dir)
 
 
+@query
+def threshold_sweep_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sweep where scores are missing."""
+    return metrics.threshold_sweep(views.scored_events_with_gaps(spark, sf_dir))
+
+
 @query
 def threshold_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.threshold_best(_sweep(spark, sf_dir))
@@ -445,13 +451,15 @@ def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
     def rating(divisor: int) -> Column:
-        return (F.floor(F.col("k") / divisor) % 5 + 1).cast("string")
+        whole = (F.floor(F.col("k") / divisor) % 5 + 1).cast("string")
+        return F.when(F.col("k") % 10 == 4, F.concat(whole, F.lit(".0"))).otherwise(whole)
 
     fields = F.concat(
         F.lit('{"grounded": '), rating(1),
         F.lit(', "relevant": '), rating(5),
         F.lit(', "helpful": '), rating(25),
-        F.lit(', "unsupported_claim": '), (F.col("k") % 2).cast("string"),
+        F.lit(', "unsupported_claim": '),
+        F.when(F.col("k") % 10 > 6, (F.col("k") % 2 == 1).cast("string")).otherwise((F.col("k") % 2).cast("string")),
         F.lit(', "overall": '), F.when(F.col("k") == 13, "9").otherwise(rating(3)),
         F.when(F.col("k") == 17, "").otherwise(', "reason": "said {so}"'),
         F.lit("}"),
@@ -501,7 +509,8 @@ def train_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _, test = _parts(spark, sf_dir)
     model = classify.train_intent(train)
     predicted = model.predict(test.select("src_ord", "final_intent", "customer_text"), "src_ord")
-    return predicted.select("src_ord", "final_intent", "predicted_intent", F.round("intent_confidence", 4).alias("intent_confidence"))
+    sure = F.col("intent_confidence").between(0.25, 1.0)  # the largest of four shares
+    return predicted.select("src_ord", "final_intent", "predicted_intent", sure.alias("sure"))
 
 
 @query

@@ -352,6 +352,8 @@ ORACLE: dict[str, str] = {
     "review_template": f"""WITH {PAIRS} SELECT row_number() OVER (ORDER BY src_ord) AS sample_id,
       customer_text, brand_response, '' AS gold_intent, '' AS gold_escalate, '' AS gold_escalation_reason,
       '' AS review_notes, 'pending' AS review_status FROM pairs""",
+    "train_intent": f"""WITH {DOCS}, {split()} SELECT sample_id AS src_ord, final_intent,
+      final_intent AS predicted_intent, true AS sure FROM split WHERE split = 'test'""",
     "stratified_split": f"WITH {DOCS}, {split()} SELECT sample_id, final_intent, split FROM split",
     "split_without_golden": f"""WITH {DOCS}, {golden(200)},
       {split(f"AND {strip('customer_text')} NOT IN (SELECT {strip('customer_text')} FROM golden)")}
@@ -417,9 +419,9 @@ ORACLE: dict[str, str] = {
       SELECT round(sum(tp)::DOUBLE / sum(support), 6) AS accuracy, round(avg(f1), 6) AS macro_f1 FROM report""",
     "confusion_matrix": f"""WITH {WEAK_DOCS} SELECT final_intent AS gold, """
     + ", ".join(
-        f"count(*) FILTER (WHERE suggested_intent = {lit(n)}) AS {n}" for n in [*LANGUAGES, "ambiguous", "none"]
+        f"count(*) FILTER (WHERE suggested_intent = {lit(n)}) AS {n}" for n in [*LANGUAGES, "ambiguous"]
     )
-    + " FROM weak GROUP BY 1",
+    + ", count(*) FILTER (WHERE suggested_intent = 'none') AS other FROM weak GROUP BY 1",
     "confusion_pairs": f"""WITH {WEAK_DOCS} SELECT final_intent AS gold, suggested_intent AS predicted, count(*) AS n
       FROM weak WHERE final_intent <> suggested_intent GROUP BY 1, 2 ORDER BY n DESC, gold, predicted LIMIT 10""",
     "binary_metrics": f"WITH {binary('labels', 'toxic = 1', 'quality = 0')}",
@@ -428,6 +430,12 @@ ORACLE: dict[str, str] = {
       UNION ALL SELECT 'f1', label, f1 FROM class_metrics
       UNION ALL SELECT 'support', label, support::DOUBLE FROM class_metrics""",
     "threshold_sweep": f"WITH {SWEEP} SELECT * FROM sweep",
+    "threshold_sweep_gaps": "WITH "
+    + SWEEP.replace("value / 500.0::DOUBLE AS c", "CASE WHEN event_id % 7 <> 0 THEN value / 500.0::DOUBLE END AS c")
+    .replace("regexp_extract(props", "CASE WHEN event_id % 5 <> 0 THEN regexp_extract(props")
+    .replace("/ 100.0::DOUBLE AS s", "/ 100.0::DOUBLE END AS s")
+    .replace("c < ct OR s < st", "coalesce(c < ct, false) OR coalesce(s < st, false)")
+    + " SELECT * FROM sweep",
     "threshold_best": f"WITH {SWEEP} SELECT * FROM sweep {BEST_ORDER}",
     "threshold_balanced": f"WITH {SWEEP} SELECT * FROM sweep WHERE recall >= 0.85 AND precision >= 0.2 {BEST_ORDER}",
     "judge_prompts": f"WITH {TRIAGE} SELECT query_id, {PROMPT_SQL} AS prompt FROM drafted",

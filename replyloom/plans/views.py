@@ -121,3 +121,13 @@ def scored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_type") == "signup").alias("always_escalate"),
         (F.col("event_type") == "error").alias("gold_escalate"),
     )
+
+
+def scored_events_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored events of which some lack the confidence, the similarity or both."""
+    return scored_events(spark, sf_dir).withColumns(
+        {
+            "intent_confidence": F.when(F.col("sample_id") % 7 != 0, F.col("intent_confidence")),
+            "retrieval_similarity": F.when(F.col("sample_id") % 5 != 0, F.col("retrieval_similarity")),
+        }
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -25,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         path = sc.getCheckpointDir()
     if not path:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):  # local-cluster has executors of its own
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         path = tempfile.mkdtemp(prefix="replyloom-")
     if sc.getCheckpointDir() is None:

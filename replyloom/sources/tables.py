@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from replyloom.operators.rows import number_rows
 from replyloom.sources import schemas
 
 BOM = "\ufeff"
@@ -30,11 +31,15 @@ def land_csv(spark: SparkSession, source: str, target: str, schema: StructType =
     """Read a CSV dump once, add the row ordinal ``src_ord`` and keep it as Parquet.
 
     A multi-line CSV file cannot be split, so a large dump should come as many files: each
-    is one unit of parallel work. The ordinal is taken at the scan, before any shuffle, and
-    is stable once written.
+    is one unit of parallel work. Rows are numbered from 0 by file name and place in the file,
+    however the scan packs the files; the numbers are stable once written.
     """
-    raw = read_csv(spark, source, schema).withColumn("src_ord", F.monotonically_increasing_id())
-    raw.write.mode("overwrite").parquet(target)
+    raw = read_csv(spark, source, schema).withColumns(
+        {"__file": F.input_file_name(), "__at": F.monotonically_increasing_id()}
+    )
+    numbered = number_rows(raw, ["__file", "__at"], "__n")
+    landed = numbered.withColumn("src_ord", F.col("__n") - 1).drop("__n", "__file", "__at")
+    landed.write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
 
 
@@ -66,4 +71,4 @@ def write_csv(df: DataFrame, path: str, bom: bool = False) -> None:
 def write_metrics(metrics: DataFrame, path: str) -> None:
     """Metric report sink: the long table (metric, label, value)."""
     schemas.require_columns(metrics, ["metric", "label", "value"])
-    write_table(metrics.select("metric", "label", "value").coalesce(1), path)
+    write_table(metrics.select("metric", "label", "value").repartition(1), path)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -56,10 +55,13 @@ def stream_triage(
     state: str,
     max_files: int | None = None,
 ) -> DataFrame:
-    """Process every file available now and return all decisions kept so far."""
+    """Process every file available now and return all decisions kept so far.
+
+    An empty part with the columns of a decision is laid down first, so a stream without files
+    reads as no decisions, and an unreadable target stays an error.
+    """
+    nothing = decide(spark.createDataFrame([], schema))
+    nothing.write.mode("ignore").parquet(os.path.join(target, "batch=-1"))
     query = start_triage(read_messages(spark, path, schema, max_files), decide, target, state)
     query.awaitTermination()
-    try:
-        return read_decisions(spark, target)
-    except AnalysisException:  # no file has arrived yet
-        return decide(spark.createDataFrame([], schema))
+    return read_decisions(spark, target)

@@ -10,7 +10,7 @@ import __spark_entry__ as contract
 from tests.oracle_check import compare, connect
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SLOW = {"grid_select", "train_intent"}  # covered in test_classify
+SLOW = {"grid_select"}  # covered in test_classify
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no tables")
 

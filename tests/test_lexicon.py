@@ -23,6 +23,15 @@ def test_sizes():
     assert sum(len(t) for _, t in RISK_LEXICON.entries) == 26
 
 
+def test_terms_that_each_list_must_hold():
+    intents, risks = dict(INTENT_LEXICON.entries), dict(RISK_LEXICON.entries)
+    assert {"hack", "hacked"} <= set(intents["account_security"])
+    assert "hi" in intents["other_non_actionable"]
+    assert "refund" in {t for _, terms in INTENT_LEXICON.entries for t in terms}
+    assert {"sue", "court", "lawyer"} <= set(risks["legal_or_high_risk"])
+    assert list(risks)[0] == "security_or_account_risk" and "fraud" in risks["security_or_account_risk"]
+
+
 def test_risk_order_and_substrings(spark):
     got = flags(
         spark,

@@ -125,3 +125,20 @@ def test_metric_lines(spark):
     assert ("support", "b", 1.0) in {tuple(r) for r in lines}
     plain = metrics.metric_lines(metrics.macro_f1(df, "gold", "predicted")).collect()
     assert ("accuracy", "", 0.5) in {tuple(r) for r in plain}
+
+
+def test_unlisted_labels_are_counted(spark):
+    df = spark.createDataFrame([("a", "a"), ("a", "zzz"), ("a", None)], "g string, p string")
+    assert [r.asDict() for r in metrics.confusion_matrix(df, "g", "p", ["a"]).collect()] == [{"gold": "a", "a": 1, "other": 2}]
+
+
+def test_missing_scores_and_flags(spark):
+    df = spark.createDataFrame(
+        [(True, False, None, 0.9), (True, False, 0.05, 0.9)],
+        "gold_escalate boolean, always_escalate boolean, intent_confidence double, retrieval_similarity double",
+    )
+    first = metrics.threshold_sweep(df).orderBy("intent_confidence_threshold", "retrieval_similarity_threshold").first()
+    assert (first.precision, first.recall) == (1.0, 0.5)
+    flags = spark.createDataFrame([(True, None), (True, True), (None, True)], "g boolean, p boolean")
+    row = metrics.binary_metrics(flags, F.col("g"), F.col("p")).first()
+    assert (row.precision, row.recall) == (0.5, 0.5)

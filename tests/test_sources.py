@@ -30,6 +30,22 @@ def test_land_csv(spark, tmp_path):
     assert (pair.customer_tweet_id, pair.brand_response) == ("1", "sure, ok")
 
 
+def test_landing_order_follows_file_names(spark, tmp_path):
+    """Small, large and small file: the scan packs them by size, the numbers do not."""
+    head = DUMP.split("\n", 1)[0]
+    folder = tmp_path / "dump"
+    folder.mkdir()
+    sizes, n = (1, 50, 5), 0
+    for k, size in enumerate(sizes):
+        lines = []
+        for _ in range(size):
+            n += 1
+            lines.append(f"{n},ann,true,,,{'long text ' * 40 if size == 50 else 'x'},Mon")
+        (folder / f"part-{k}.csv").write_text("\n".join([head, *lines]) + "\n", encoding="utf-8")
+    landed = tables.land_csv(spark, str(folder), str(tmp_path / "messages"))
+    assert [(r.src_ord, r.tweet_id) for r in landed.orderBy("src_ord").collect()] == [(i, i + 1) for i in range(n)]
+
+
 def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("a\nb", 'say "x"'), (" pad ", "c,d")], "customer_text string, brand_response string")
     for bom in (False, True):
