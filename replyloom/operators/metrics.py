@@ -150,6 +150,28 @@ def binary_metrics(df: DataFrame, gold: Column, predicted: Column) -> DataFrame:
     return counts.select(*[F.round(c, DIGITS).alias(name) for name, c in rates.items()])
 
 
+def evaluation_summary(rows: DataFrame) -> DataFrame:
+    """Evaluated rows as one long table (metric, label, value).
+
+    Accuracy, macro F1, the escalation rates, rows per reason, and rows per pair of labels, whose
+    line is named gold>predicted. All lines are taken from the same rows, one pass per kind.
+    """
+    scores = macro_f1(rows, "gold_intent", "predicted_intent")
+    rates = binary_metrics(rows, F.col("gold_escalate"), F.col("predicted_escalate"))
+    out = None
+    for table in (scores, rates):
+        lines = [F.struct(F.lit(c).alias("metric"), F.lit("").alias("label"), F.col(c).cast("double").alias("value")) for c in table.columns]
+        part = table.select(F.inline(F.array(*lines)))
+        out = part if out is None else out.unionByName(part)
+    reasons = value_counts(rows, "escalation_reason")
+    pairs = confusion_counts(rows, "gold_intent", "predicted_intent")
+    return out.unionByName(
+        reasons.select(F.lit("reason").alias("metric"), F.col("escalation_reason").alias("label"), F.col("n").cast("double").alias("value"))
+    ).unionByName(
+        pairs.select(F.lit("pair").alias("metric"), F.concat("gold", F.lit(">"), "predicted").alias("label"), F.col("n").cast("double").alias("value"))
+    )
+
+
 def majority_baseline(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
     """Metrics of always predicting the most frequent training label."""
     majority = majority_label(train, label).scalar()

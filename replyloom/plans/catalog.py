@@ -12,7 +12,7 @@ from replyloom.functions.lexicon import risk_flag, weak_label
 from replyloom.operators import classify, failures, index, judging, metrics, pairing, retrieve, rows
 from replyloom.operators import sampling, triage
 from replyloom.plans import views
-from replyloom.session import fresh_dir
+from replyloom.session import checkpoint, fresh_dir
 from replyloom.streaming import triage_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -513,6 +513,38 @@ def train_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("src_ord", "final_intent", "predicted_intent", sure.alias("sure"))
 
 
+def _predicted_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test documents as gold rows with the fitted classifier's predictions."""
+    train, _, test = _parts(spark, sf_dir)
+    gold = test.select("sample_id", "customer_text", F.col("final_intent").alias("gold_intent")).withColumn(
+        "gold_escalate", F.col("gold_intent").isin(*views.HIGH_RISK_LANGUAGES)
+    )
+    return checkpoint(classify.train_intent(train).predict(gold, "sample_id"))
+
+
+@query
+def test_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report of the fitted classifier on rows that neither fit nor selection has seen."""
+    return metrics.class_metrics(_predicted_test(spark, sf_dir), "gold_intent", "predicted_intent")
+
+
+def _model_evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checkpoint(triage.evaluate(_predicted_test(spark, sf_dir), _pair_index(spark, sf_dir), **CASCADE))
+
+
+@query
+def model_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions on the test documents from the fitted classifier and the index."""
+    return _model_evaluated(spark, sf_dir).select(
+        "sample_id", "predicted_intent", "retrieval_similarity", "predicted_escalate", "escalation_reason", "intent_correct"
+    )
+
+
+@query
+def model_eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.evaluation_summary(_model_evaluated(spark, sf_dir))
+
+
 @query
 def grid_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All grid points with their validation macro F1, on weakly labelled messages."""

@@ -301,6 +301,15 @@ DECORATED = """'@115712 ' || brand_response || ' , really ! You can check here:
 
 SHEET_BLANKS = "'' AS candidate_intent, '' AS final_intent, '' AS label_confidence, '' AS label_notes"
 
+MODEL_ROWS = f"""{DOCS}, {split()}, {PAIR_CORPUS},
+    test AS (SELECT sample_id, customer_text, final_intent AS gold_intent, final_intent AS predicted_intent,
+      final_intent IN ({ids(HIGH_RISK_LANGUAGES)}) AS gold_escalate FROM split WHERE split = 'test'),
+    {matches("corpus", "test", "sample_id", 1)},
+    evaluated AS (SELECT t.*, f.similarity AS retrieval_similarity,
+      {reason("t.customer_text", "t.predicted_intent", "1.0", "f.similarity")} AS escalation_reason
+      FROM test t JOIN found f ON f.query_id = t.sample_id),
+    flagged AS (SELECT *, escalation_reason <> 'safe_to_auto_handle' AS predicted_escalate FROM evaluated)"""
+
 ORACLE: dict[str, str] = {
     "message_scan": f"""WITH {MSG} SELECT tweet_id, author_id, inbound,
       parent_id::VARCHAR AS in_response_to_tweet_id, text, created_at FROM msg""",
@@ -352,6 +361,21 @@ ORACLE: dict[str, str] = {
     "review_template": f"""WITH {PAIRS} SELECT row_number() OVER (ORDER BY src_ord) AS sample_id,
       customer_text, brand_response, '' AS gold_intent, '' AS gold_escalate, '' AS gold_escalation_reason,
       '' AS review_notes, 'pending' AS review_status FROM pairs""",
+    "test_report": f"""WITH {DOCS}, {split()},
+      shown AS (SELECT final_intent AS label, count(*) AS n FROM split WHERE split = 'test' GROUP BY 1)
+      SELECT label, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1, n::BIGINT AS support FROM shown
+      UNION ALL SELECT l, 1.0, 1.0, 1.0, (SELECT sum(n)::BIGINT FROM shown)
+      FROM (VALUES ('accuracy'), ('macro avg'), ('weighted avg')) v(l)""",
+    "model_triage": f"""WITH {MODEL_ROWS} SELECT sample_id, predicted_intent, retrieval_similarity, predicted_escalate,
+      escalation_reason, true AS intent_correct FROM flagged""",
+    "model_eval_summary": f"""WITH {MODEL_ROWS},
+      rates AS ({"WITH " + binary("flagged", "gold_escalate", "predicted_escalate")})
+      SELECT m AS metric, '' AS label, 1.0::DOUBLE AS value FROM (VALUES ('accuracy'), ('macro_f1')) v(m)
+      UNION ALL SELECT 'precision', '', precision FROM rates UNION ALL SELECT 'recall', '', recall FROM rates
+      UNION ALL SELECT 'f1', '', f1 FROM rates UNION ALL SELECT 'escalation_rate', '', escalation_rate FROM rates
+      UNION ALL SELECT 'auto_handle_rate', '', auto_handle_rate FROM rates
+      UNION ALL SELECT 'reason', escalation_reason, count(*)::DOUBLE FROM flagged GROUP BY 2
+      UNION ALL SELECT 'pair', gold_intent || '>' || predicted_intent, count(*)::DOUBLE FROM flagged GROUP BY 2""",
     "train_intent": f"""WITH {DOCS}, {split()} SELECT sample_id AS src_ord, final_intent,
       final_intent AS predicted_intent, true AS sure FROM split WHERE split = 'test'""",
     "stratified_split": f"WITH {DOCS}, {split()} SELECT sample_id, final_intent, split FROM split",
