@@ -30,7 +30,8 @@ PER_CLASS = 4000
 FEATURE_BITS = 20
 PREFIXES = (4, 5)
 EPOCHS, RATE, DECAY, BIAS = 120, 0.1, 1e-3, -4.0
-MIN_DOCS = 3
+# Chi-square of a feature and the label from which it takes part; invented rare words stay below.
+TELLING = 25.0
 # Words whose weight a task remembers before it starts anew.
 MEMORY = 300_000
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -63,18 +64,31 @@ class ToxicityModel:
         return dict(zip(self.features.tolist(), self.weights.tolist())), self.bias
 
 
+def _telling(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Features that stand in toxic documents more often than chance would have it."""
+    n = n_toxic + n_clean
+    every = toxic + clean
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chi = n * (toxic * n_clean - clean * n_toxic) ** 2 / (every * (n - every) * n_toxic * n_clean)
+    # A feature of all documents tells nothing.
+    return np.flatnonzero((every < n) & (toxic * n_clean > clean * n_toxic) & (np.nan_to_num(chi) >= TELLING))
+
+
 def fit_bags(features: np.ndarray, sentence: np.ndarray, doc: np.ndarray, label: np.ndarray, weight: np.ndarray) -> ToxicityModel:
     """Fit on feature occurrences, the sentence of each, the document of each sentence."""
-    pairs = np.unique(np.stack([features, doc[sentence]]), axis=1)
-    known, docs = np.unique(pairs[0], return_counts=True)
-    known = known[docs >= MIN_DOCS]
+    seen = np.zeros((2, 1 << FEATURE_BITS))
+    ends = np.searchsorted(doc[sentence], np.arange(len(label) + 1)) if len(sentence) else np.zeros(len(label) + 1, np.int64)
+    for kind, first, last in zip(label, ends, ends[1:]):
+        seen[kind, np.unique(features[first:last])] += 1
+    known = _telling(seen[1], seen[0], (label == 1).sum(), (label == 0).sum())
     if not len(known) or label.min() == label.max():
         share = float((label * weight).sum() / weight.sum()) if len(label) else 0.0
         share = min(max(share, 1e-6), 1 - 1e-6)
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), float(np.log(share / (1 - share))))
-    at = np.searchsorted(known, features)
-    use = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == features)
-    at, sentence = at[use], sentence[use]
+    place = np.full(1 << FEATURE_BITS, -1, np.int32)
+    place[known] = np.arange(len(known))
+    at = place[features]
+    at, sentence = at[at >= 0], sentence[at >= 0]
     n_sentences, n_docs = len(doc), len(label)
     w, bias = np.zeros(len(known)), BIAS
     m, v = np.zeros(len(known) + 1), np.zeros(len(known) + 1)
@@ -99,8 +113,8 @@ def fit_bags(features: np.ndarray, sentence: np.ndarray, doc: np.ndarray, label:
 def fit(docs: DataFrame, labels: DataFrame, seen: Column, per_class: int = PER_CLASS) -> ToxicityModel:
     """Train on at most ``per_class`` labelled documents of each class.
 
-    Features are made by the tasks; only their hashes come to the driver. Without labels of
-    both classes every sentence gets the same score.
+    Features are made by the tasks and fitted in one of them. Without labels of both classes
+    every sentence gets the same score.
     """
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,21 +127,30 @@ def fit(docs: DataFrame, labels: DataFrame, seen: Column, per_class: int = PER_C
                         found.extend(word_features(word))
                     ends.append(len(found))
                 rows.append((np.array(found, np.int32).tobytes(), np.array(ends, np.int32).tobytes(), label, weight))
-            yield pd.DataFrame(rows, columns=["features", "ends", "label", "weight"])
+            yield pd.DataFrame(rows, columns=["features", "ends", "label", "weight"]).assign(part=0)
+
+    def train(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["label", "features"], kind="stable")
+        features = np.concatenate([np.frombuffer(f, np.int32) for f in rows["features"]])
+        lengths = [np.diff(np.frombuffer(e, np.int32), prepend=0) for e in rows["ends"]]
+        each = np.array([len(x) for x in lengths], np.int64)
+        size = np.concatenate(lengths).astype(np.int64)
+        model = fit_bags(
+            features,
+            np.repeat(np.arange(len(size), dtype=np.int32), size),
+            np.repeat(np.arange(len(rows), dtype=np.int32), each),
+            rows["label"].to_numpy(np.int64),
+            rows["weight"].to_numpy(np.float64),
+        )
+        return pd.DataFrame({"features": [model.features], "weights": [model.weights], "bias": [model.bias]})
 
     drawn = training_rows(docs, labels, "toxic", seen, per_class, seed=31)
-    rows = drawn.mapInPandas(bags, "features binary, ends binary, label int, weight double").collect()
-    features = [np.frombuffer(r["features"], np.int32) for r in rows]
-    lengths = [np.diff(np.frombuffer(r["ends"], np.int32), prepend=0) for r in rows]
-    each = np.array([len(x) for x in lengths], np.int64)
-    size = np.concatenate([*lengths, np.zeros(0, np.int32)]).astype(np.int64)
-    return fit_bags(
-        np.concatenate([*features, np.zeros(0, np.int32)]).astype(np.int64),
-        np.repeat(np.arange(len(size)), size),
-        np.repeat(np.arange(len(rows)), each),
-        np.array([r["label"] for r in rows], np.int64),
-        np.array([r["weight"] for r in rows], np.float64),
-    )
+    rows = drawn.mapInPandas(bags, "features binary, ends binary, label int, weight double, part int")
+    # One task holds the whole sample, which per_class bounds.
+    fitted = rows.groupBy("part").applyInPandas(train, "features array<long>, weights array<double>, bias double").first()
+    if fitted is None:
+        return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), -30.0)
+    return ToxicityModel(np.array(fitted["features"], np.int64), np.array(fitted["weights"]), fitted["bias"])
 
 
 class _Scorer:
