@@ -26,6 +26,8 @@ carry_along(__name__)
 THRESHOLD = 2
 # Shorter lines pair with equal lines only: two edits would make most of them alike.
 MIN_CHARS = 16
+# Bits of a line's name that bound the number of edits to another; the rest is a hash.
+SIGN_BITS = 40
 
 
 def segments(length: int, tau: int = THRESHOLD) -> list[tuple[int, int]]:
@@ -108,14 +110,33 @@ def _digest(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, line, key, id) of every line that is not blank; null texts have none.
+def names(lines: list[str], hashes: np.ndarray) -> np.ndarray:
+    """A number per line: SIGN_BITS parities of its pairs of neighbours, then bits of its hash.
 
-    ``key`` tells lines apart; ``id`` is a short name for it that different lines might share.
+    Each bit tells whether an odd number of the pairs that fall to it occur. An edit takes away
+    two pairs at most and brings in two, so the parities of lines that link differ in no more
+    than four bits per edit.
     """
+    n = len(lines)
+    text = np.frombuffer("\n".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    ends = np.cumsum([len(x) + 1 for x in lines])
+    pairs = (text[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (text[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
+    bins = ((pairs ^ (pairs >> np.uint64(31))) >> np.uint64(7)) % np.uint64(SIGN_BITS)
+    of = np.repeat(np.arange(n), np.diff(np.append(0, ends)))[: len(pairs)]
+    inside = np.ones(len(pairs), bool)
+    for shift in (1, 2):  # pairs with a separator belong to no line
+        at = ends[:-1] - shift
+        inside[at[at >= 0]] = False
+    odd = np.bincount(of[inside] * SIGN_BITS + bins[inside].astype(np.int64), minlength=n * SIGN_BITS) & 1
+    sign = odd.reshape(n, SIGN_BITS).astype(np.uint64) @ (np.uint64(1) << np.arange(SIGN_BITS, dtype=np.uint64))
+    low = np.uint64(64 - SIGN_BITS)
+    return ((sign << low) | (hashes.view(np.uint64) & ((np.uint64(1) << low) - np.uint64(1)))).view(np.int64)
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, place, line, key) of every line that is not blank, told apart by ``key``; null texts have none."""
     placed = docs.select("doc_id", F.posexplode(F.split(text_of(), "\n")).alias("place", "line"))
-    named = placed.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("key", F.md5(F.col("line").cast("binary")))
-    return named.withColumn("id", F.xxhash64("key"))
+    return placed.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("key", F.md5(F.col("line").cast("binary")))
 
 
 def _tokens(lines: DataFrame, own: bool, tau: int) -> DataFrame:
@@ -128,8 +149,9 @@ def _tokens(lines: DataFrame, own: bool, tau: int) -> DataFrame:
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         plans: dict[int, list] = {}
         for batch in batches:
-            batch = batch.drop_duplicates("id")
+            batch = batch.drop_duplicates("hash")
             tokens, counts = [], []
+            ids = names(batch["line"].tolist(), batch["hash"].to_numpy(np.int64))
             for line in batch["line"]:
                 n = len(line)
                 plan = plans.get(n)
@@ -141,25 +163,37 @@ def _tokens(lines: DataFrame, own: bool, tau: int) -> DataFrame:
             yield pd.DataFrame(
                 {
                     "token": np.array(tokens, np.uint64).view(np.int64),
-                    "id": np.repeat(batch["id"].to_numpy(np.int64), np.array(counts, np.int64)),
+                    "id": np.repeat(ids, np.array(counts, np.int64)),
                 }
             )
 
-    dealt = lines.select("id", "line").mapInPandas(deal, "token long, id long")
+    dealt = lines.select(F.xxhash64("key").alias("hash"), "line").mapInPandas(deal, "token long, id long")
     return dealt.repartition("token").distinct()
 
 
 def candidates(lines: DataFrame, tau: int = THRESHOLD) -> DataFrame:
-    """Pairs u < v of ids of lines of which the longer one has a segment of the other in reach."""
+    """Pairs u < v of names of lines of which the longer one has a segment of the other in reach.
+
+    Lines whose names tell that too many edits part them do not leave the join, so near copies
+    that share a segment but differ elsewhere make no rows.
+    """
     long = lines.where(F.length("line") >= MIN_CHARS)
     own, asked = _tokens(long, True, tau), _tokens(long, False, tau)
-    met = own.withColumnRenamed("id", "u").join(asked.withColumnRenamed("id", "v"), "token").where("u <> v")
+    apart = F.bit_count(F.shiftrightunsigned(F.col("u").bitwiseXOR(F.col("v")), 64 - SIGN_BITS))
+    met = own.withColumnRenamed("id", "u").join(asked.withColumnRenamed("id", "v"), "token")
+    met = met.where((F.col("u") != F.col("v")) & (apart <= 4 * tau))
     return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def links(lines: DataFrame, tau: int = THRESHOLD) -> DataFrame:
     """Pairs u < v of keys of different lines that at most ``tau`` edits part."""
     pairs = checkpoint(candidates(lines, tau))
+
+    @F.pandas_udf("long")
+    def named(text: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(names(text.tolist(), hashes.to_numpy(np.int64)), dtype="int64")
+
+    lines = lines.select("key", "line", named("line", F.xxhash64("key")).alias("id"))
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     texts = checkpoint(lines.select("id", "key", "line").join(wanted, "id", "left_semi").dropDuplicates(["key"]))
     side = lambda n: texts.select(F.col("id").alias(n), F.col("key").alias(f"key_{n}"), F.col("line").alias(f"line_{n}"))
