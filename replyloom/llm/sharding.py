@@ -18,14 +18,15 @@ from replyloom.session import checkpoint
 
 SHARDS = 16
 # Bits of a dimension, of the tie-break, and of one histogram.
-DIM_BITS, TIE_BITS, STEP_BITS = 24, 48, 12
+DIM_BITS, TIE_BITS, STEP_BITS = 48, 48, 12
 DIMENSIONS = ("lang", "source", "size")
 
 
 def _prefix(column: str) -> Column:
-    """Order-preserving number of a text: its first three UTF-8 bytes after a shared prefix of src."""
-    bytes3 = F.rpad(F.hex(F.substring(F.encode(F.coalesce(F.col(column).cast("string"), F.lit("")), "utf-8"), 1, 3)), 6, "0")
-    return F.conv(bytes3, 16, 10).cast("long")
+    """Order-preserving number of a text: its first six UTF-8 bytes."""
+    text = F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
+    digits = F.rpad(F.hex(F.substring(text, 1, DIM_BITS // 8)), DIM_BITS // 4, "0")
+    return F.conv(digits, 16, 10).cast("long")
 
 
 def _group_table(docs: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def _group_table(docs: DataFrame) -> DataFrame:
         F.md5(text_of().cast("binary")).alias("__group"),
         size.alias("__size"),
         *[
-            (F.least(F.floor(F.log2(size) * (1 << 18)), F.lit((1 << DIM_BITS) - 1)).cast("long") if d == "size" else _prefix(d)).alias(f"__d{i}")
+            (F.floor(F.log2(size) * (1 << 40)).cast("long") if d == "size" else _prefix(d)).alias(f"__d{i}")
             for i, d in enumerate(DIMENSIONS)
         ],
     )
