@@ -4,7 +4,7 @@ A suffix is of type S if it is smaller than the one after it, else L; an S suffi
 is a leftmost S (LMS). Sorted LMS suffixes fix the order of all L suffixes in one pass over the
 buckets from the left, and these that of all S suffixes in one pass from the right. LMS
 substrings are sorted by the same two passes; where some are equal, their ranks form a shorter
-text whose suffixes are sorted by recursion.
+text whose suffixes are sorted by recursion, or by doubling where it has very many symbols.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from replyloom.llm.common import carry_along
 
 carry_along(__name__)
 
-# Beyond so many symbols a text is rewritten with two digits per symbol.
+# A pass costs something for each symbol; a shorter text with more of them is ranked by doubling.
 MAX_SYMBOLS = 2048
 
 
@@ -92,6 +92,22 @@ def _induce(s: np.ndarray, is_s: np.ndarray, starts: np.ndarray, lms: np.ndarray
     return sa
 
 
+def _by_doubling(s: np.ndarray) -> np.ndarray:
+    """Order of the suffixes by ranks of 1, 2, 4, ... symbols, for texts with very many symbols."""
+    n, width = len(s), 1
+    rank = s.astype(np.int64)
+    while True:
+        after = np.zeros(n, np.int64)
+        after[: n - width] = rank[width:] + 1
+        key = rank * (n + 1) + after
+        order = np.argsort(key)
+        key = key[order]
+        rank[order] = np.cumsum(np.append(False, key[1:] != key[:-1]))
+        if rank[order[-1]] == n - 1:
+            return order
+        width *= 2
+
+
 def suffix_array(s: np.ndarray, symbols: int) -> np.ndarray:
     """Order of the suffixes of ``s``, whose values are below ``symbols``; a prefix comes first."""
     n = len(s)
@@ -130,14 +146,7 @@ def suffix_array(s: np.ndarray, symbols: int) -> np.ndarray:
         names = np.zeros(n, np.int32)
         names[ordered] = rank
         text = names[lms]
-        if kinds <= MAX_SYMBOLS:
-            order = suffix_array(text, kinds)
-        else:
-            base = int(np.ceil(np.sqrt(kinds)))
-            digits = np.empty(2 * len(text), np.int32)
-            digits[0::2], digits[1::2] = np.divmod(text, base)
-            order = suffix_array(digits, base)
-            order = order[order % 2 == 0] // 2
+        order = suffix_array(text, kinds) if kinds <= MAX_SYMBOLS else _by_doubling(text)
         ordered = lms[order]
     return _induce(s, is_s, starts, ordered)
 

@@ -1,11 +1,11 @@
 """Exact substring dedup with sharded suffix arrays.
 
 Every byte inside a string of MATCH bytes that also starts earlier is removed. Each such string
-holds an anchor: the least of the hashes of its GRAM-byte substrings. Equal strings have equal
-anchors at equal places, so they meet in the shard of that hash, and a place whose anchor occurs
-in one text only needs no comparison. The bytes that the strings of an anchor cover are its
-segment. Equal segments are folded into the first; the different segments of an anchor are laid
-end to end in a shard, whose suffix array is built by induced sorting. Neighbours in the array
+has an anchor: the least of the hashes of its GRAM-byte substrings. Equal strings have equal
+anchors, so they meet in the shard of that hash, and a string whose anchor occurs in one text
+only needs no comparison. Strings in a row with one anchor cover a segment. Equal segments are
+folded into the first; the different segments of an anchor are laid end to end in a shard, whose
+suffix array is built by induced sorting. Neighbours in the array
 that share MATCH bytes or more, by their permuted common prefixes, are equal strings, of which
 all but the earliest go.
 """
@@ -30,7 +30,7 @@ carry_along(__name__)
 
 MATCH, GRAM = 100, 24
 # Bytes of documents that are hashed together, and of segments in a shard.
-PIECE, SHARD_BYTES = 1 << 17, 2 << 20
+PIECE, SHARD_BYTES = 1 << 17, 1 << 20
 # Different segments of one anchor beyond which its strings are dealt one by one.
 HOT = 20_000
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -68,32 +68,28 @@ def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
     return out
 
 
-def anchors(data: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first string, last string) per anchor, for the strings of MATCH bytes.
+def anchors(data: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first string, last string, whether it may repeat itself) per stretch of strings.
 
-    ``allowed`` says which starts of strings count. Strings whose least hash is at the same
-    place form a stretch of starts; equal hashes in a string each are its anchor.
+    A stretch holds the strings of MATCH bytes in a row that have one least hash. It can repeat
+    a string only if that hash occurs in it twice, so if it occurs more often than stretches
+    have it. ``allowed`` says which starts of strings count.
     """
-    none = np.zeros(0, np.int64)
     if len(data) < MATCH:
-        return none.astype(np.uint64), none, none
+        none = np.zeros(0, np.int64)
+        return none.astype(np.uint64), none, none, none.astype(bool)
     width = MATCH - GRAM + 1
     h = _gram_hashes(data, GRAM)
     least = np.where(allowed, _sliding(h, width, np.minimum), np.uint64(0))
     pad = np.zeros(width - 1, np.uint64)
-    reach = _sliding(np.concatenate([pad, least, pad]), width, np.maximum)
-    at = np.flatnonzero(reach == h)
-    # Starts of the strings around ``at`` whose least hash is the one there.
-    window = np.arange(-(width - 1), 1)
-    first, last = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-    for k in range(0, len(at), 4096):
-        part = at[k : k + 4096]
-        starts = part[:, None] + window
-        inside = (starts >= 0) & (starts < len(least))
-        mine = inside & (least[np.clip(starts, 0, len(least) - 1)] == h[part][:, None])
-        first[k : k + 4096] = part + window[np.argmax(mine, axis=1)]
-        last[k : k + 4096] = part + window[width - 1 - np.argmax(mine[:, ::-1], axis=1)]
-    return h[at], first, last
+    met, times = np.unique(h[_sliding(np.concatenate([pad, least, pad]), width, np.maximum) == h], return_counts=True)
+    change = np.flatnonzero(least[1:] != least[:-1]) + 1
+    first = np.append(0, change)
+    last = np.append(change, len(least)) - 1
+    real = least[first] > 0
+    token, first, last = least[first[real]], first[real], last[real]
+    at = np.searchsorted(met, token)
+    return token, first, last, times[at] > np.bincount(at, minlength=len(met))[at]
 
 
 # Powers for strings at any place of a piece or of several short documents hashed together.
@@ -125,19 +121,15 @@ def _hash_pieces(pieces: list[tuple[int, int, bytes]]) -> pd.DataFrame:
     allowed = np.ones(max(len(data) - MATCH + 1, 0), bool)
     for end in ends[:-1]:
         allowed[max(end - MATCH + 1, 0) : end] = False
-    token, first, last = anchors(data, allowed)
+    token, first, last, inner = anchors(data, allowed)
     of = np.searchsorted(ends, first, "right")
     begin = np.concatenate([[0], ends[:-1]])
     ctx = _content(data, first, last + MATCH)
     uid = np.array([p[0] for p in pieces], np.int64)[of]
     start = first - begin[of] + np.array([p[1] for p in pieces], np.int64)[of]
     length = (last - first + MATCH).astype(np.int32)
-    # Equal hashes in one string give the same segment more than once.
     order = np.lexsort((start, ctx, token, uid))
-    x, y = order[1:], order[:-1]
-    same = (uid[x] == uid[y]) & (token[x] == token[y]) & (ctx[x] == ctx[y])
-    order = np.append(order[:1], x[~(same & (start[x] == start[y]))])
-    token, ctx, uid, start, length = token[order], ctx[order], uid[order], start[order], length[order]
+    token, ctx, uid, start, length, inner = (x[order] for x in (token, ctx, uid, start, length, inner))
     again = np.zeros(len(order), bool)
     again[1:] = (uid[1:] == uid[:-1]) & (token[1:] == token[:-1]) & (ctx[1:] == ctx[:-1])
     own = (uid.astype(np.uint64) * np.uint64(_ODD[0])) ^ (start.astype(np.uint64) * np.uint64(_ODD[1]))
@@ -150,6 +142,7 @@ def _hash_pieces(pieces: list[tuple[int, int, bytes]]) -> pd.DataFrame:
             "start": start,
             "length": length,
             "again": again,
+            "inner": inner,
         }
     )
 
@@ -227,12 +220,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     given = docs.select("uid", text_of().alias("text"))
-    dealt = given.mapInPandas(_pieces, "token long, ctx long, uid long, start long, length int, again boolean")
+    dealt = given.mapInPandas(_pieces, "token long, ctx long, uid long, start long, length int, again boolean, inner boolean")
     of_token, of_ctx = Window.partitionBy("token"), Window.partitionBy("token", "ctx").orderBy("uid", "start")
     met = (
         dealt.repartition("token")
         .withColumn("again", F.col("again") | (F.dense_rank().over(of_ctx) > 1))
-        .withColumn("several", F.min("ctx").over(of_token) != F.max("ctx").over(of_token))
+        .withColumn("several", F.col("inner") | (F.min("ctx").over(of_token) != F.max("ctx").over(of_token)))
+        .drop("inner")
         .where("again or several")
     )
     path = fresh_dir(spark, "segments")
