@@ -3,13 +3,16 @@
 Two lines link if at most THRESHOLD edits turn one into the other. A line is cut into
 THRESHOLD + 1 segments of near equal length. By the pigeonhole principle one segment of the
 shorter line survives in the longer one at a place that few shifts can reach, so the longer one
-looks up only those substrings, for each length that it may pair with. Candidates are verified
-by a banded bit-parallel edit distance. Equal lines are compared once.
+looks up only those substrings, for each length that it may pair with. Segments of short lines
+would be met by most others, so a pair whose shorter line is SHORT of characters meets by what
+both keep: the texts that THRESHOLD deletions leave of the longer one. Candidates are verified by
+a banded bit-parallel edit distance. Equal lines are compared once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -24,8 +27,10 @@ from replyloom.session import checkpoint
 carry_along(__name__)
 
 THRESHOLD = 2
-# Shorter lines pair with equal lines only: two edits would make most of them alike.
-MIN_CHARS = 16
+# Lines of at least this length pair with different ones: all that are not blank.
+MIN_CHARS = 1
+# Pairs of which the shorter line has fewer characters meet by deletions, others by segments.
+SHORT = 16
 # Bits of a line's name that bound the number of edits to another; the rest is a hash.
 SIGN_BITS = 40
 
@@ -157,6 +162,7 @@ def _tokens(lines: DataFrame, own: bool, tau: int) -> DataFrame:
                 plan = plans.get(n)
                 if plan is None:
                     wanted = [(n, i, *x) for i, x in enumerate(segments(n, tau))] if own else probes(n, tau)
+                    wanted = [x for x in wanted if x[0] >= SHORT]
                     plan = plans[n] = [(f"{o} {i} ", at, at + size) for o, i, at, size in wanted]
                 tokens.extend([_digest(head + line[at:end]) for head, at, end in plan])
                 counts.append(len(plan))
@@ -172,12 +178,12 @@ def _tokens(lines: DataFrame, own: bool, tau: int) -> DataFrame:
 
 
 def candidates(lines: DataFrame, tau: int = THRESHOLD) -> DataFrame:
-    """Pairs u < v of names of lines of which the longer one has a segment of the other in reach.
+    """Pairs u < v of names of lines from SHORT on of which the longer one has a segment of the other in reach.
 
     Lines whose names tell that too many edits part them do not leave the join, so near copies
     that share a segment but differ elsewhere make no rows.
     """
-    long = lines.where(F.length("line") >= MIN_CHARS)
+    long = lines.where(F.length("line") >= SHORT)
     own, asked = _tokens(long, True, tau), _tokens(long, False, tau)
     apart = F.bit_count(F.shiftrightunsigned(F.col("u").bitwiseXOR(F.col("v")), 64 - SIGN_BITS))
     met = own.withColumnRenamed("id", "u").join(asked.withColumnRenamed("id", "v"), "token")
@@ -185,8 +191,52 @@ def candidates(lines: DataFrame, tau: int = THRESHOLD) -> DataFrame:
     return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def kept_texts(line: str, own: bool, tau: int = THRESHOLD) -> set[str]:
+    """What ``tau`` deletions leave of a line, or, with ``own``, up to ``tau`` of them.
+
+    Lines that ``tau`` edits part share a text of ``tau`` characters less than the longer one
+    has (of none if it has fewer), since an edit costs the longer line one character at most.
+    """
+    n = len(line)
+    low = max(n - tau, 0)
+    return {"".join(x) for size in range(low, (n if own else low) + 1) for x in combinations(line, size)}
+
+
+def short_links(lines: DataFrame, tau: int = THRESHOLD) -> DataFrame:
+    """``links`` of the pairs of which the shorter line has fewer than SHORT characters.
+
+    Lines of so few characters go through the join themselves. Those that meet nearly link, so
+    no group is much larger than its links.
+    """
+
+    def left(own: bool, name: str) -> DataFrame:
+        def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                kept = [[_digest(x) for x in kept_texts(line, own, tau)] for line in batch["line"]]
+                counts = np.array([len(x) for x in kept], np.int64)
+                tokens = np.array([x for one in kept for x in one], np.uint64).view(np.int64)
+                yield pd.DataFrame({"token": tokens, name: np.repeat(batch["line"].to_numpy(object), counts)})
+
+        some = lines.where(F.length("line") < (SHORT if own else SHORT + tau)).select("line").distinct()
+        return some.mapInPandas(deal, f"token long, {name} string")
+
+    @F.pandas_udf("boolean")
+    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([near(x, y, tau) for x, y in zip(a, b)], dtype=bool)
+
+    met = left(True, "a").join(left(False, "b"), "token").where("a <> b")
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().where(linked("a", "b"))
+    keys = [F.md5(F.col(n).cast("binary")) for n in ("a", "b")]
+    return pairs.select(F.least(*keys).alias("u"), F.greatest(*keys).alias("v"))
+
+
 def links(lines: DataFrame, tau: int = THRESHOLD) -> DataFrame:
     """Pairs u < v of keys of different lines that at most ``tau`` edits part."""
+    return long_links(lines, tau).union(short_links(lines, tau))
+
+
+def long_links(lines: DataFrame, tau: int = THRESHOLD) -> DataFrame:
+    """``links`` of the pairs of which the shorter line has SHORT characters or more."""
     pairs = checkpoint(candidates(lines, tau))
 
     @F.pandas_udf("long")
@@ -211,8 +261,8 @@ def line_classes(docs: DataFrame, tau: int = THRESHOLD) -> DataFrame:
 
     Returns doc_id, place (from 0, blank lines counted but not returned), class_doc_id and
     class_place of the first line of the class by doc_id and place, n_links and kept, true for
-    that first line. Lines of fewer than MIN_CHARS characters are classed with equal ones only.
-    Rows with a null doc_id come first; a repeated row shares the place of its twin.
+    that first line. Rows with a null doc_id come first; a repeated row shares the place of its
+    twin.
     """
     lines = lines_of(docs)
     found = checkpoint(links(lines, tau))

@@ -199,6 +199,34 @@ def test_lines_against_all_pairs(spark):
     assert len(left) == len(rows)
 
 
+@pytest.mark.parametrize("tau", [1, 2, 3])
+def test_kept_texts_meet_every_short_pair(tau):
+    rng = random.Random(tau)
+    texts = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(300)})
+    for a in texts:
+        for b in texts:
+            if len(a) <= len(b) and brute.edits(a, b) <= tau:
+                assert lines.kept_texts(a, True, tau) & lines.kept_texts(b, False, tau)
+
+
+def test_short_lines_against_all_pairs(spark):
+    rng = random.Random(5)
+    texts = {"".join(rng.choice("abc.é") for _ in range(rng.randint(1, 7))) for _ in range(60)}
+    for n in range(8, 20):
+        base = "".join(rng.choice("abcdefgh ") for _ in range(n))
+        texts |= {base, base[1:], base[:-2], base[:3] + "X" + base[4:], "Y" + base, base[:2] + base[3:] + "Z"}
+    texts = sorted(x for x in texts if x.strip())
+    linked = lambda a, b: brute.edits(a, b) <= 2
+    want = {frozenset((a, b)) for i, a in enumerate(texts) for b in texts[:i] if linked(a, b)}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    known = {r.key: r.line for r in lines.lines_of(docs).collect()}
+    got = [frozenset((known[r.u], known[r.v])) for r in lines.links(lines.lines_of(docs)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert any(len(p) == 2 and min(map(len, p)) == 15 and max(map(len, p)) > 15 for p in want)
+    degree = Counter(x for p in want for x in p)
+    assert {r.doc_id: r.n_links for r in lines.line_classes(docs).collect()} == {i: degree[t] for i, t in enumerate(texts)}
+
+
 def test_lines_edges(odd, clashing, empty):
     assert lines.line_classes(clashing).count() == lines.line_classes(odd).count()
     assert lines.line_classes(empty).count() == 0
