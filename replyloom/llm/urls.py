@@ -61,6 +61,17 @@ def host_path(url: str) -> tuple[Column, Column]:
     return F.translate(host, UPPER, LOWER), path
 
 
+def judged_text(url: str) -> Column:
+    """The whole URL as the models read it: the host in lower case, null as the empty text."""
+    text = F.coalesce(F.col(url), F.lit(""))
+    at = F.instr(text, "://")
+    start = F.substring(text, F.lit(1), at + 2)
+    rest = F.substring(text, at + 3, F.length(text))
+    host = F.regexp_extract(rest, r"^[^/?#]*", 0)
+    lowered = F.concat(start, F.translate(host, UPPER, LOWER), F.substring(rest, F.length(host) + 1, F.length(rest)))
+    return F.when(at > 0, lowered).otherwise(text)
+
+
 def fitting_rule(rules: Sequence[PathRule] = RULES) -> tuple[Column, Column]:
     """Name and verdict of the longest rule for the columns ``host`` and ``path``, else null."""
     name = verdict = F.lit(None).cast("string")
@@ -153,18 +164,17 @@ def threshold(scored: DataFrame) -> float:
 def judge_pages(pages: DataFrame, rules: Sequence[PathRule] = RULES) -> DataFrame:
     """``pages`` packed in ``__row`` with host, path, rule, score and verdict.
 
-    Equal hosts and paths are scored once. A null url has empty host and path and goes to the
-    models as the empty text. Scores at the threshold or above are allowed, so without training
+    Host and path are for the rules and the output; the models count and score the whole URL, with
+    scheme, query and fragment. Equal URLs are scored once. A null url has empty host and path and
+    goes to the models as the empty text. Scores at the threshold or above are allowed, so without training
     URLs everything unruled is. An empty table stays empty.
     """
     host, path = host_path("url")
     name, verdict = fitting_rule(rules)
-    ruled = pages.select(F.struct("*").alias("__row"), host.alias("host"), path.alias("path")).select(
-        "*", name.alias("rule"), verdict.alias("__ruled")
-    )
-    url = F.concat("host", "path")
+    placed = pages.select(F.struct("*").alias("__row"), judged_text("url").alias("url"), host.alias("host"), path.alias("path"))
+    ruled = placed.select("*", name.alias("rule"), verdict.alias("__ruled"))
     classes = ruled.select(
-        url.alias("url"),
+        "url",
         (F.col("__ruled") == "allow").cast("long").alias("a"),
         (F.col("__ruled") == "block").cast("long").alias("r"),
     )
@@ -179,7 +189,7 @@ def judge_pages(pages: DataFrame, rules: Sequence[PathRule] = RULES) -> DataFram
     scored = checkpoint(score_urls(urls, ratios).join(urls, "url"))
     kept_out = scored.where(held).select("score", F.col("a").alias("accepted"), F.col("r").alias("rejected"))
     at = threshold(kept_out)
-    judged = ruled.withColumn("url", url).join(scored.select("url", "score"), "url")
+    judged = ruled.join(scored.select("url", "score"), "url")
     own = F.when(F.col("score") >= at, "allow").otherwise("block")
     return judged.withColumn("verdict", F.coalesce("__ruled", own)).drop("url", "__ruled")
 

@@ -94,6 +94,20 @@ def test_rules_of_urls(spark):
     assert urls.url_table(pages.limit(0)).count() == 0
 
 
+def test_models_judge_the_whole_url(spark):
+    shown = {1: ("HTTP://A.Org/X?Q=a://B#f", "HTTP://a.org/X?Q=a://B#f"), 2: ("No/Scheme?Q", "No/Scheme?Q"), 3: (None, ""), 4: ("://H", "://h")}
+    rows = spark.createDataFrame([(i, u) for i, (u, _) in shown.items()], "page_id long, url string")
+    assert {r.page_id: r.t for r in rows.select("page_id", urls.judged_text("url").alias("t")).collect()} == {i: t for i, (_, t) in shown.items()}
+    pages = [(i, f"http://a{i}.com/good?topic=flower{i}#top") for i in range(60)]
+    pages += [(100 + i, f"ftp://b{i}.net/es/good?spam=zzkk{i}") for i in range(60)]
+    pages += [(200, "flower1"), (201, "zzkk1"), (202, "ftp://q.org/x?topic=flower"), (203, "ftp://q.org/x?spam=zzkk"), (204, "ftp://Q.org/x?spam=zzkk")]
+    got = {r.page_id: r for r in urls.url_table(spark.createDataFrame(pages, "page_id long, url string")).collect()}
+    assert len(got) == len(pages)
+    assert got[200].score > got[201].score and got[202].score > got[203].score
+    assert got[203].score == got[204].score
+    assert (got[202].host, got[202].path, got[200].host, got[200].path) == ("q.org", "/x", "", "")
+
+
 def test_models_against_plain_counts(spark):
     accepted, rejected, other = ["abab", "abba", "aab"] * 3, ["bcbc", "ccb"] * 2, ["abc", "zz", ""]
     rows = [(u, accepted.count(u), rejected.count(u)) for u in sorted({*accepted, *rejected, *other})]
