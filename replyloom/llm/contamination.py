@@ -33,7 +33,7 @@ _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
 )
 INDEX_SCHEMA = (
-    "doc_ids binary, has_id binary, text_keys binary, doc_starts binary, terms binary, term_starts binary, places binary"
+    "segment long, doc_ids binary, has_id binary, text_keys binary, doc_starts binary, terms binary, term_starts binary, places binary"
 )
 
 
@@ -41,11 +41,12 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
-def _segment(ids: list, keys: list, starts: list[int], line: list[bytes]) -> dict:
+def _segment(number: int, ids: list, keys: list, starts: list[int], line: list[bytes]) -> dict:
     codes, terms = pd.factorize(np.array(line, object)) if line else (np.zeros(0, np.int64), [])
     order = np.argsort(codes, kind="stable").astype(np.int32)
     counts = np.bincount(codes, minlength=len(terms))
     return {
+        "segment": number,
         "doc_ids": np.array([0 if i is None else i for i in ids], np.int64).tobytes(),
         "has_id": np.array([i is not None for i in ids], np.uint8).tobytes(),
         "text_keys": np.array(keys, np.int64).tobytes(),
@@ -64,24 +65,30 @@ def build_index(docs: DataFrame, segment_tokens: int = SEGMENT_TOKENS) -> DataFr
     """
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # The partition's number and the segment's within it, so that a segment made again has the same.
+        number = None
         ids, keys, starts, line = [], [], [], []
         for batch in batches:
+            if number is None and len(batch):
+                number = int(batch["part"].iloc[0]) << 32
             for doc_id, has, key, text in zip(batch["doc_id"], batch["has"], batch["text_key"], batch["text"]):
                 words = tokens(text)
                 if line and len(line) + len(words) > segment_tokens or len(ids) >= segment_tokens:
-                    yield pd.DataFrame([_segment(ids, keys, starts, line)])
+                    yield pd.DataFrame([_segment(number, ids, keys, starts, line)])
+                    number += 1
                     ids, keys, starts, line = [], [], [], []
                 ids.append(int(doc_id) if has else None)
                 keys.append(key)
                 starts.append(len(line))
                 line.extend(words)
         if ids:
-            yield pd.DataFrame([_segment(ids, keys, starts, line)])
+            yield pd.DataFrame([_segment(number, ids, keys, starts, line)])
 
     given = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"),
         F.col("doc_id").isNotNull().alias("has"),
         F.xxhash64(text_of()).alias("text_key"),
+        F.spark_partition_id().alias("part"),
         "text",
     )
     return given.mapInPandas(segments, INDEX_SCHEMA)
@@ -176,7 +183,7 @@ def _blocks(phrases: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, st
 
 
 MATCH_SCHEMA = (
-    "doc_id long, text_key long, segment_doc long, n_words long, "
+    "doc_id long, text_key long, segment long, segment_doc long, n_words long, "
     "spans array<struct<first: long, last: long>>, item_ids array<string>"
 )
 
@@ -205,6 +212,7 @@ def _search_block(index: DataFrame, block: Phrases, slop: int) -> DataFrame:
                     {
                         "doc_id": pd.array([i if h else None for i, h in zip(ids.tolist(), has)], "Int64"),
                         "text_key": keys,
+                        "segment": segment["segment"],
                         "segment_doc": np.arange(len(ids)),
                         "n_words": np.diff(starts),
                         "spans": spans,
@@ -224,15 +232,15 @@ def search(index: DataFrame, phrases: DataFrame, window: int = WINDOW, slop: int
     """
     parts = [_search_block(index, Phrases(b, window), slop) for b in _blocks(phrases, block_bytes)]
     if len(parts) == 1:
-        return parts[0].drop("segment_doc")
+        return parts[0].drop("segment", "segment_doc")
     every = parts[0]
     for part in parts[1:]:
         every = every.union(part)
-    merged = every.groupBy("doc_id", "text_key", "segment_doc", "n_words").agg(
+    merged = every.groupBy("doc_id", "text_key", "segment", "segment_doc", "n_words").agg(
         F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
     )
-    return merged.drop("segment_doc")
+    return merged.drop("segment", "segment_doc")
 
 
 def _covered(spans: Column) -> Column:

@@ -81,6 +81,17 @@ def test_blocks_and_segments_do_not_matter(spark, documents):
     assert hits(whole) == hits(cut)
 
 
+def test_blocks_keep_repeated_rows(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (None, ""), (1, "a b c"), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(1, "a b"), (2, "c")], "item_id long, text string")
+    index = contamination.build_index(docs, segment_tokens=2)
+    row = lambda r: (r.doc_id is None, r.n_words, tuple(r.item_ids))
+    whole, cut = contamination.search(index, items), contamination.search(index, items, block_bytes=1)
+    assert whole.columns == cut.columns and whole.count() == len(rows)
+    assert sorted(map(row, cut.collect())) == sorted(map(row, whole.collect()))
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red green blue"), (2, "red very green blue"), (3, "blue then red and some green")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "red green blue")], "item_id long, text string")
