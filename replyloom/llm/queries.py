@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from replyloom.llm import contamination, lines, mixing, quality_model, quality_rules, sharding, simhash, suffix_dedup, toxicity, urls
+from replyloom.llm import (
+    contamination,
+    lines,
+    mixing,
+    quality_model,
+    quality_rules,
+    sharding,
+    simhash,
+    suffix_dedup,
+    token_store,
+    toxicity,
+    urls,
+)
 from replyloom.llm.common import table
 from replyloom.llm.oracle import ORACLE  # noqa: F401
 
@@ -51,6 +63,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_table(table(spark, sf_dir, "documents"))
 
 
+def op11_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.token_table(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -64,5 +80,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sharding,
         op9_suffix_dedup,
         op10_simhash,
+        op11_token_store,
     )
 }
