@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from replyloom.llm import (
     contamination,
+    conversations,
     lines,
     mixing,
     quality_model,
@@ -67,6 +68,10 @@ def op11_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_table(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_table(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -81,5 +86,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_suffix_dedup,
         op10_simhash,
         op11_token_store,
+        op13_conversation_repair,
     )
 }

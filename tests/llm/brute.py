@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import xxhash
@@ -96,3 +97,62 @@ def edits(a, b):
             new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
         row = new
     return row[-1]
+
+
+def audit(symbols):
+    """(cost, audit) by trying every sequence of edits; upper case is truncated, x has to go."""
+    roles = {"": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}
+    best = None
+    todo = [(0, "", 0, "")]  # cost, audit, rows done, last initial
+    while todo:
+        cost, edits, done, last = todo.pop()
+        if best and cost > best[0] or edits.count("I") > 4:
+            continue
+        if done == len(symbols) and last in ("", "a"):
+            best = min(best or (cost, edits), (cost, edits))
+        needs = "a" if last == "u" else "u"
+        todo.append((cost + 3, edits + "I", done, needs))
+        if done < len(symbols):
+            x = symbols[done]
+            todo.append((cost + 4, edits + "D", done + 1, last))
+            if x != "x":
+                extra = 3 * x.isupper()
+                todo.append((cost + 3 + extra, edits + "R", done + 1, needs))
+                if x.lower() in roles[last]:
+                    todo.append((cost + extra, edits + "K", done + 1, x.lower()))
+    return best
+
+
+def conversations(rows):
+    """conv_id -> summary, cost, audit and digest of damaged rows (conv_id, turn, role, text)."""
+    groups = defaultdict(list)
+    for conv, turn, role, text in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0)):
+        word = lambda v: " " if v is None else v
+        role, text, own = word(role), word(text), groups[conv]
+        kind = zlib.crc32(f"{word(conv)}:{word(turn)}".encode()) % 20
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        own += [(turn, "user" if kind == 4 else role, text)] * (0 if kind == 0 else 2 if kind == 3 else 1)
+    out = {}
+    for conv, own in groups.items():
+        turns = [t for t, _, _ in own if t is not None]
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        counts, symbols, seen = Counter(), "", set()
+        for _, role, text in own:
+            shown = text.strip(" \t\n\v\f\r")
+            fault = "b" if not shown else "d" if (role, text) in seen else "t" if shown[-1] not in ".!?" else ""
+            seen.add((role, text))
+            counts[fault] += 1
+            initial = role[:1] if role[:1] in tuple("sua") else "o"
+            symbols += "x" if fault in tuple("bd") else initial.upper() if fault else initial
+        illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(own, own[1:]))
+        cost, edits = audit(symbols)
+        lines, left, last = [], iter(own), ""
+        for e in edits:
+            row = next(left) if e != "I" else (None, None, "")
+            if e != "D":
+                role = row[1] if e == "K" else "assistant" if last == "u" else "user"
+                last = role[0]
+                lines.append(f"{role}:{row[2]}")
+        digest = hashlib.sha256("\n".join(lines).encode()).hexdigest()
+        out[conv] = (gaps, counts["b"], counts["d"], counts["t"], illegal, cost, edits, digest)
+    return out
