@@ -15,6 +15,7 @@ columns are ignored, whatever their names. A text of any length is one row; a ro
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator, Sequence
@@ -23,6 +24,7 @@ from functools import partial
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,9 +42,11 @@ END_ID = 2
 # Bytes of a stripe before compression; rows to which one row-index entry and Bloom filter belong.
 STRIPE_BYTES = 32 << 20
 INDEX_ROWS = 1000
-# Characters encoded at once; pieces kept in each of the two generations of the memo.
-CHUNK_CHARS = 1 << 20
-MEMO_PIECES = 300_000
+# Bytes of text that one part of the store is to hold.
+PART_BYTES = 256 << 20
+# Bytes encoded at once; pieces kept in each of the two generations of the memo.
+CHUNK_BYTES = 1 << 20
+MEMO_PIECES = 250_000
 
 # A blank after a character that is no white space always starts a new token in byte-level BPE.
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -50,7 +54,7 @@ _SPACES = re.compile(r"\s ")
 
 
 class PieceEncoder:
-    """Encodes texts piece by piece, a piece being a word with the blank before it.
+    """Encodes texts with a byte-level BPE piece by piece, a piece being a word with the blank before it.
 
     Equal pieces have equal ids wherever they stand, so each is encoded once and remembered. The
     memo is bounded: when the young generation is full it becomes the old one, which is dropped
@@ -58,7 +62,12 @@ class PieceEncoder:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        # One character of a vocabulary entry stands for one byte.
+        self.bytes_of[list(vocabulary.values())] = [len(token) for token in vocabulary]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -71,8 +80,8 @@ class PieceEncoder:
         unknown = {p for pieces in cut for p in pieces if p not in young}
         young.update((p, old[p]) for p in unknown if p in old)
         new = [p for p in unknown if p not in young]
-        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            young[piece] = np.array(found.ids, "<u4").tobytes()
+        young.update(self._encode_all([p for p in new if p.startswith(" ")], joined=True))
+        young.update(self._encode_all([p for p in new if not p.startswith(" ")], joined=False))
         end = np.array([end_id], "<u4").tobytes()
         out = [b"".join(map(young.__getitem__, pieces)) + end for pieces in cut]
         for piece in new:
@@ -80,6 +89,18 @@ class PieceEncoder:
                 del young[piece]
         return out
 
+    def _encode_all(self, pieces: list[str], joined: bool) -> Iterator[tuple[str, bytes]]:
+        """Each piece with its ids; pieces that start with a blank are encoded as one text."""
+        texts = ["".join(pieces)] if joined and pieces else pieces
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        if not joined:
+            return zip(pieces, [np.array(f.ids, "<u4").tobytes() for f in found])
+        ids = np.array(found[0].ids if found else [], "<u4")
+        ends = np.cumsum([len(p.encode()) for p in pieces])
+        cuts = 4 * (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1)
+        raw, starts = ids.tobytes(), [0, *cuts[:-1].tolist()]
+        return zip(pieces, [raw[a:b] for a, b in zip(starts, cuts.tolist())])
+
     @staticmethod
     def pieces(text: str) -> list[str]:
         if _SPACES.search(text):
@@ -88,29 +109,33 @@ class PieceEncoder:
         return [first, *[" " + word for word in rest]]
 
 
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(place of the first, texts) for runs of at most CHUNK_BYTES bytes, or of one text."""
+    ends, first = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), 0
+    while first < len(texts):
+        done = ends[first - 1] if first else 0
+        last = max(int(np.searchsorted(ends, done + CHUNK_BYTES, side="right")), first + 1)
+        yield first, texts.slice(first, last - first).to_pylist()
+        first = last
+
+
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     encoder, part, place, before = PieceEncoder(path), TaskContext.get().partitionId(), 0, 0
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        first = 0
-        while first < len(texts):
-            last, chars = first, 0
-            while last < len(texts) and (last == first or chars + len(texts[last]) <= CHUNK_CHARS):
-                chars += len(texts[last])
-                last += 1
-            coded = encoder.encode(texts[first:last], end_id)
+        for first, texts in _chunks(batch.column(1)):
+            coded = encoder.encode(texts, end_id)
             sizes = np.array([len(c) // 4 for c in coded], np.int64)
             ends = np.cumsum(sizes)
             tokens = pa.array(np.frombuffer(b"".join(coded), "<i4"))
             columns = [
-                ids.slice(first, last - first),
+                batch.column(0).slice(first, len(coded)),
                 pa.array(np.full(len(coded), part, np.int32)),
                 pa.array(np.arange(place, place + len(coded))),
                 pa.array(before + ends - sizes),
                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), tokens),
             ]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
-            first, place, before = last, place + len(coded), before + int(ends[-1])
+            place, before = place + len(coded), before + int(ends[-1])
 
 
 def _layout(id_type) -> StructType:
@@ -125,6 +150,7 @@ def write_tokens(
     path: str,
     tokenizer: str | None = None,
     end_id: int = END_ID,
+    part_bytes: int = PART_BYTES,
     stripe_bytes: int = STRIPE_BYTES,
     index_rows: int = INDEX_ROWS,
 ) -> None:
@@ -137,10 +163,12 @@ def write_tokens(
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark, keys = docs.sparkSession, ["doc_id", "__text", "__place"]
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(size // part_bytes, 2 * spark.sparkContext.defaultParallelism)
     ranged = (
         docs.select("doc_id", text_of().alias("text"))
         .withColumns({"__text": F.xxhash64("text"), "__place": F.monotonically_increasing_id()})
-        .repartitionByRange(*keys)
+        .repartitionByRange(parts, *keys)
         .sortWithinPartitions(*keys)
         .select("doc_id", "text")
     )
