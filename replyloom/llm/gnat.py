@@ -191,7 +191,7 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.int64) @ b.astype(np.int64).T
 
 
-NONE = np.iinfo(np.int64).min
+NONE = -(1 << 62)
 
 
 def first_rows(rows: np.ndarray, labels: np.ndarray, asked: Windows, radius: float, fan: int, leaf_rows: int):

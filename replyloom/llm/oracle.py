@@ -114,8 +114,35 @@ SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM dw LEFT JOIN hit ON dw.doc_id = hit.doc_id LEFT JOIN it ON dw.doc_id = it.doc_id
 """
 
+_NEGATIVES = r"""
+WITH r AS (
+    SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+        list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+n AS (SELECT row_number() OVER () AS uid, * FROM r),
+s AS (
+    SELECT a.uid AS anchor, a.vec_id AS anchor_id, b.uid AS uid, b.vec_id AS vec_id, a.label = b.label AS same,
+        CAST(list_dot_product(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) AS BIGINT) AS score
+    FROM n AS a JOIN n AS b ON a.vec_id % 50 = 0 AND a.uid <> b.uid
+),
+p AS (
+    SELECT anchor, anchor_id, uid, vec_id AS positive_id, score AS positive_score
+    FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST) <= 5
+)
+SELECT p.anchor_id, p.positive_id,
+    CAST(row_number() OVER (PARTITION BY p.anchor, p.uid ORDER BY s.score DESC, s.vec_id NULLS LAST) AS INTEGER) AS rank,
+    s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON p.anchor = s.anchor AND NOT s.same
+    AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor, p.uid ORDER BY s.score DESC, s.vec_id NULLS LAST) <= 3
+"""
+
 ORACLE: dict[str, str] = {
     "op4_contamination": _CONTAMINATION,
     "op6_quality_rules": _QUALITY,
     "op7_mixing": _MIXING,
+    "op12_hard_negatives": _NEGATIVES,
 }

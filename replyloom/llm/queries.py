@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from replyloom.llm import (
     contamination,
     conversations,
+    hard_negatives,
     lines,
     mixing,
     quality_model,
@@ -68,6 +69,10 @@ def op11_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_table(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.negative_table(table(spark, sf_dir, "embeddings"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_table(table(spark, sf_dir, "conversations"))
 
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_suffix_dedup,
         op10_simhash,
         op11_token_store,
+        op12_hard_negatives,
         op13_conversation_repair,
     )
 }

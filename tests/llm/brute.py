@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -156,3 +157,24 @@ def conversations(rows):
         digest = hashlib.sha256("\n".join(lines).encode()).hexdigest()
         out[conv] = (gaps, counts["b"], counts["d"], counts["t"], illegal, cost, edits, digest)
     return out
+
+
+def hard_negatives(rows):
+    """Sorted (anchor, positive, rank, negative, scores) of rows (vec_id, embedding, label)."""
+    fit = []
+    for vec_id, vector, label in rows:
+        if label is None or vector is None or any(x is None or not math.isfinite(x) for x in vector):
+            continue
+        label = (label + 1) % 10 if vec_id is not None and vec_id % 7 == 0 else label
+        fit.append((vec_id, label, [math.floor(256 * x) for x in vector]))
+    out = []
+    for k, (anchor, own, v) in enumerate(fit):
+        if anchor is None or anchor % 50:
+            continue
+        scored = [(-sum(x * y for x, y in zip(v, w)), i is None, i or 0, label == own) for j, (i, label, w) in enumerate(fit) if j != k]
+        scored.sort()
+        for p, no_id, positive, _ in [s for s in scored if s[3]][:5]:
+            inside = [s for s in scored if not s[3] and 50 * -p <= 100 * -s[0] <= 95 * -p]
+            for rank, (n, missing, negative, _) in enumerate(inside[:3], 1):
+                out.append((anchor, None if no_id else positive, rank, None if missing else negative, -p, -n))
+    return sorted(out, key=repr)
