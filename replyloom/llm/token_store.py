@@ -44,21 +44,21 @@ STRIPE_BYTES = 32 << 20
 INDEX_ROWS = 1000
 # Bytes of text that one part of the store is to hold.
 PART_BYTES = 256 << 20
-# Bytes encoded at once; pieces kept in each of the two generations of the memo.
-CHUNK_BYTES = 1 << 20
-MEMO_PIECES = 250_000
+# Bytes encoded at once; words kept in each of the two generations of the memo.
+CHUNK_BYTES = 4 << 20
+MEMO_WORDS = 250_000
 
 # A blank after a character that is no white space always starts a new token in byte-level BPE.
 _CUT = re.compile(r"(?<=\S)(?= )")
-_SPACES = re.compile(r"\s ")
 
 
 class PieceEncoder:
-    """Encodes texts with a byte-level BPE piece by piece, a piece being a word with the blank before it.
+    """Encodes texts with a byte-level BPE word by word.
 
-    Equal pieces have equal ids wherever they stand, so each is encoded once and remembered. The
-    memo is bounded: when the young generation is full it becomes the old one, which is dropped
-    at the next turn.
+    Equal words after a blank have equal ids wherever they stand, so a chunk's texts become numbers
+    of its different words, and only words that the memo lacks reach the tokenizer. The memo is
+    bounded: when the young generation is full it becomes the old one, which is dropped at the
+    next turn.
     """
 
     def __init__(self, path: str) -> None:
@@ -71,77 +71,102 @@ class PieceEncoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def encode(self, texts: Sequence[str], end_id: int) -> list[bytes]:
-        """The ids of each text and ``end_id``, as little-endian unsigned 32-bit integers."""
-        cut = [self.pieces(t) for t in texts]
-        if len(self.young) > MEMO_PIECES:
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each text closed by ``end_id``, and the number of ids of each."""
+        lists = pc.split_pattern(texts, " ")
+        first = lists.offsets.to_numpy().astype(np.int64)
+        first, ends = first[:-1] - first[0], first[1:] - first[0]
+        coded = lists.flatten().dictionary_encode()
+        words, entry = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        owner = np.repeat(np.arange(len(first)), ends - first)
+        # A blank starts a token unless white space stands before it; such texts are cut with care.
+        open_ended = np.array([not w or w[-1].isspace() for w in words])[entry]
+        open_ended[ends - 1] = False
+        careful = np.unique(owner[open_ended])
+        table = self._after_blank(words)
+        kept = np.ones(len(entry), bool)
+        kept[np.isin(owner, careful)] = False
+        kept[first] = True
+        entry[first] = len(table) + np.arange(len(first))
+        heads = [words[k] for k in coded.indices.to_numpy()[first]]
+        table += self._alone(heads)
+        for k in careful.tolist():
+            piece, *rest = _CUT.split(texts[k].as_py())
+            table[entry[first[k]]] = self._alone([piece])[0] + b"".join(self._after_blank([r[1:] for r in rest]))
+        entry, owner = entry[kept], owner[kept]
+        stops = np.searchsorted(owner, np.arange(len(first)), side="right")
+        entry = np.insert(entry, stops, len(table))
+        table.append(np.array([end_id], "<u4").tobytes())
+        sizes = np.array([len(b) // 4 for b in table], np.int64)
+        flat, starts = np.frombuffer(b"".join(table), "<i4"), np.cumsum(sizes) - sizes
+        own = sizes[entry]
+        upto = np.cumsum(own)
+        tokens = flat[np.repeat(starts[entry] - upto + own, own) + np.arange(upto[-1] if len(upto) else 0)]
+        closes = upto[stops + np.arange(len(stops))]
+        return tokens, np.diff(closes, prepend=0)
+
+    def _alone(self, pieces: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return [np.array(f.ids, "<u4").tobytes() for f in found]
+
+    def _after_blank(self, words: list[str]) -> list[bytes]:
+        """The ids of each of these words with a blank before it, as bytes of 32-bit integers."""
+        if len(self.young) > MEMO_WORDS:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        unknown = {p for pieces in cut for p in pieces if p not in young}
-        young.update((p, old[p]) for p in unknown if p in old)
-        new = [p for p in unknown if p not in young]
-        young.update(self._encode_all([p for p in new if p.startswith(" ")], joined=True))
-        young.update(self._encode_all([p for p in new if not p.startswith(" ")], joined=False))
-        end = np.array([end_id], "<u4").tobytes()
-        out = [b"".join(map(young.__getitem__, pieces)) + end for pieces in cut]
-        for piece in new:
-            if len(piece) > 64:
-                del young[piece]
+        unknown = {w for w in words if w not in young}
+        young.update((w, old[w]) for w in unknown if w in old)
+        new = [w for w in unknown if w not in young]
+        if new:
+            # Encoded as one text; the bytes that each id stands for tell where a word ends.
+            ids = np.array(self._alone_ids(" " + " ".join(new)), "<u4")
+            ends = np.cumsum([len(w.encode()) + 1 for w in new])
+            cuts = 4 * (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1)
+            raw, starts = ids.tobytes(), [0, *cuts[:-1].tolist()]
+            young.update(zip(new, [raw[a:b] for a, b in zip(starts, cuts.tolist())]))
+        out = [young[w] for w in words]
+        for word in new:
+            if len(word) > 64:
+                del young[word]
         return out
 
-    def _encode_all(self, pieces: list[str], joined: bool) -> Iterator[tuple[str, bytes]]:
-        """Each piece with its ids; pieces that start with a blank are encoded as one text."""
-        texts = ["".join(pieces)] if joined and pieces else pieces
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        if not joined:
-            return zip(pieces, [np.array(f.ids, "<u4").tobytes() for f in found])
-        ids = np.array(found[0].ids if found else [], "<u4")
-        ends = np.cumsum([len(p.encode()) for p in pieces])
-        cuts = 4 * (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1)
-        raw, starts = ids.tobytes(), [0, *cuts[:-1].tolist()]
-        return zip(pieces, [raw[a:b] for a, b in zip(starts, cuts.tolist())])
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        if _SPACES.search(text):
-            return _CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + word for word in rest]]
-
-
-def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    """(place of the first, texts) for runs of at most CHUNK_BYTES bytes, or of one text."""
+    def _alone_ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+
+def _chunks(texts: pa.Array) -> Iterator[pa.Array]:
+    """Runs of at most CHUNK_BYTES bytes, or of one text."""
     ends, first = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), 0
     while first < len(texts):
         done = ends[first - 1] if first else 0
         last = max(int(np.searchsorted(ends, done + CHUNK_BYTES, side="right")), first + 1)
-        yield first, texts.slice(first, last - first).to_pylist()
+        yield texts.slice(first, last - first)
         first = last
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     encoder, part, place, before = PieceEncoder(path), TaskContext.get().partitionId(), 0, 0
     for batch in batches:
-        for first, texts in _chunks(batch.column(1)):
-            coded = encoder.encode(texts, end_id)
-            sizes = np.array([len(c) // 4 for c in coded], np.int64)
+        first = 0
+        for texts in _chunks(batch.column(1)):
+            tokens, sizes = encoder.encode(texts, end_id)
             ends = np.cumsum(sizes)
-            tokens = pa.array(np.frombuffer(b"".join(coded), "<i4"))
             columns = [
-                batch.column(0).slice(first, len(coded)),
-                pa.array(np.full(len(coded), part, np.int32)),
-                pa.array(np.arange(place, place + len(coded))),
+                batch.column(0).slice(first, len(texts)),
+                pa.array(np.full(len(texts), part, np.int32)),
+                pa.array(np.arange(place, place + len(texts))),
                 pa.array(before + ends - sizes),
-                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), tokens),
+                pa.array(sizes),
+                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(tokens)),
             ]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
-            place, before = place + len(coded), before + int(ends[-1])
+            first, place, before = first + len(texts), place + len(texts), before + int(ends[-1])
 
 
 def _layout(id_type) -> StructType:
     return (
         StructType().add("doc_id", id_type).add("part", IntegerType()).add("place", LongType())
-        .add("before", LongType()).add("ids", ArrayType(IntegerType()))
+        .add("before", LongType()).add("n_tokens", LongType()).add("ids", ArrayType(IntegerType()))
     )
 
 
@@ -190,7 +215,7 @@ def write_tokens(
     # One row per part.
     (
         written.groupBy("part")
-        .agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("ids").cast("long")).alias("n_tokens"))
+        .agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         .withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
         .write.parquet(f"{path}/parts")
     )
