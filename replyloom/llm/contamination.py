@@ -105,11 +105,11 @@ def windows(text: str | None, size: int = WINDOW) -> list[tuple[bytes, ...]]:
 class Phrases:
     """A block of phrases as arrays: term numbers per offset, length, and the items of each."""
 
-    def __init__(self, items: Iterable[tuple[str, str | None]], size: int = WINDOW):
+    def __init__(self, items: Iterable[tuple[str | None, str | None]], size: int = WINDOW):
         owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
         for item, text in items:
             for window in windows(text, size):
-                owners[window].add(item)
+                owners[window].update([] if item is None else [item])
         self.phrases = list(owners)
         self.items = [sorted(owners[p]) for p in self.phrases]
         self.vocabulary: dict[bytes, int] = {}
@@ -168,12 +168,10 @@ def find(segment: dict, block: Phrases, slop: int = 0) -> tuple[np.ndarray, np.n
     return alive[row], start, doc
 
 
-def _blocks(phrases: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
+def _blocks(phrases: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, str | None]]]:
     """Rows of (item_id, text) in blocks of bounded size; a partition at a time reaches the driver."""
     block, size = [], 0
     for row in phrases.select(F.col("item_id").cast("string").alias("item"), "text").toLocalIterator():
-        if row["item"] is None:
-            continue
         block.append((row["item"], row["text"]))
         size += len(row["text"] or "")
         if size >= block_bytes:
@@ -227,8 +225,8 @@ def search(index: DataFrame, phrases: DataFrame, window: int = WINDOW, slop: int
     """Per document of ``index`` the hit spans of tokens and the items with a matching window.
 
     Spans are (first, last) with last excluded, disjoint and ascending for each block of
-    phrases. Phrases without tokens and items without an id match nothing; equal items share
-    their windows.
+    phrases. Phrases without tokens match nothing; windows of items without an id hit words but
+    name no item; equal items share their windows.
     """
     parts = [_search_block(index, Phrases(b, window), slop) for b in _blocks(phrases, block_bytes)]
     if len(parts) == 1:

@@ -285,8 +285,14 @@ def line_classes(docs: DataFrame, tau: int = THRESHOLD) -> DataFrame:
 
 
 def drop_repeated_lines(docs: DataFrame, tau: int = THRESHOLD) -> DataFrame:
-    """(doc_id, text) with the lines that are not the first of their class taken out, blank ones kept."""
-    gone = line_classes(docs, tau).where("not kept").groupBy("doc_id").agg(F.collect_set("place").alias("__gone"))
-    joined = docs.select("doc_id", "text").join(gone.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    """``docs`` with the lines that are not the first of their class taken out, blank ones kept.
+
+    Each row counts by itself, also where an id is null or repeated: of rows with one id the
+    first keeps the line. All columns stay.
+    """
+    rows = checkpoint(docs.select(F.struct("*").alias("__doc"), "doc_id", "text").withColumn("__row", F.monotonically_increasing_id()))
+    classes = line_classes(rows.select(F.struct("doc_id", "__row").alias("doc_id"), "text"), tau)
+    gone = classes.where("not kept").groupBy(F.col("doc_id.__row").alias("__row")).agg(F.collect_set("place").alias("__gone"))
     rest = F.filter(F.split(text_of(), "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i))
-    return joined.select("doc_id", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n")).alias("text"))
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
+    return rows.join(gone, "__row", "left").select(F.col("__doc").withField("text", text).alias("__doc")).select("__doc.*")

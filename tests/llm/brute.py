@@ -47,7 +47,7 @@ def contamination(docs, items):
     for item, text in items:
         w = TOKEN.findall(lower(text))
         for i in range(max(len(w) - 13, 0) + 1 if w else 0):
-            own[tuple(w[i : i + 13])].add(str(item))
+            own[tuple(w[i : i + 13])].update([] if item is None else [str(item)])
     out = {}
     for doc_id, text in docs:
         w = TOKEN.findall(lower(text))

@@ -65,7 +65,7 @@ def test_contamination_against_scan(spark, documents, odd):
     extra = spark.createDataFrame([(900, "one two"), (901, None), (902, "..."), (None, "word1 word2")], "item_id long, text string")
     items = items.select("item_id", "text").union(extra)
     for docs in (documents, odd.where("doc_id is not null")):
-        known = [(r.item_id, r.text) for r in items.collect() if r.item_id is not None]
+        known = [(r.item_id, r.text) for r in items.collect()]
         want = brute.contamination([(r.doc_id, r.text) for r in docs.collect()], known)
         got = {r.doc_id: tuple(r)[1:] for r in contamination.contamination_table(docs, items).collect()}
         assert got == want
@@ -92,6 +92,13 @@ def test_blocks_keep_repeated_rows(spark):
     assert sorted(map(row, cut.collect())) == sorted(map(row, whole.collect()))
 
 
+def test_items_without_id_hit_words(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "alpha beta"), (5, "gamma")], "item_id long, text string")
+    got = {r.doc_id: r for r in contamination.contamination_table(docs, items).collect()}
+    assert (got[1].n_hit, got[1].n_items, got[1].contaminated) == (3, 1, True) and got[2].n_hit == 0
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red green blue"), (2, "red very green blue"), (3, "blue then red and some green")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "red green blue")], "item_id long, text string")
@@ -238,6 +245,24 @@ def test_short_lines_against_all_pairs(spark):
     assert {r.doc_id: r.n_links for r in lines.line_classes(docs).collect()} == {i: degree[t] for i, t in enumerate(texts)}
 
 
+def test_repeated_lines_go_by_row(spark):
+    rows = [
+        (0, "a common line of words here\nx", "a"),
+        (1, "a common line of words here\nfoo is another line", "b"),
+        (1, "totally different opening words zz\nfoo is another line", "c"),
+        (None, "one more line that stands alone\nq", "d"),
+        (None, "a common line of words here\n\nfoo is another line!", "e"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, place string").coalesce(1)
+    got = lines.drop_repeated_lines(docs)
+    assert got.columns == docs.columns
+    texts = {r.place: (r.doc_id, r.text) for r in got.collect()}
+    # Null ids come first, so rows d and e keep what they share with later ones (x is near q).
+    assert texts["d"] == (None, "one more line that stands alone\nq")
+    assert texts["e"] == (None, "a common line of words here\n\nfoo is another line!")
+    assert texts["a"] == (0, "") and texts["b"] == (1, "") and texts["c"] == (1, "totally different opening words zz")
+
+
 def test_lines_edges(odd, clashing, empty):
     assert lines.line_classes(clashing).count() == lines.line_classes(odd).count()
     assert lines.line_classes(empty).count() == 0
