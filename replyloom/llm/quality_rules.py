@@ -209,7 +209,11 @@ BASE_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_w
 
 
 def rule_table(docs: DataFrame) -> DataFrame:
-    """Per document the base columns and the verdict of the cascade over all rules."""
+    """Per document the base columns and the verdict of the cascade over all rules.
+
+    Rows leave through an explode of one struct, for the reason that ``keep_good`` gives: a filter
+    on any of the columns is applied to finished rows.
+    """
     names = order_rules(measure(docs))
     df = docs.select("doc_id", "text")
     for name in BASE_COLUMNS:
@@ -217,9 +221,10 @@ def rule_table(docs: DataFrame) -> DataFrame:
     failed = BASE_RULES[0].test() | BASE_RULES[1].test()
     base = {r.name for r in BASE_RULES}
     df = cascade(df.withColumn("base_failed", failed), [n for n in names if n not in base])
-    return df.select(
+    row = F.struct(
         "doc_id",
         *[F.col(f"__{c}").alias(c) for c in BASE_COLUMNS],
         "base_failed",
         (~F.col("base_failed") & F.col("__rejected").isNull()).alias("kept"),
     )
+    return df.select(F.explode(F.array(row)).alias("row")).select("row.*")
