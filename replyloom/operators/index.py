@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,12 +19,18 @@ from replyloom.functions.text import (
     text_terms,
 )
 from replyloom.operators.rows import SALTS, keep_first
+from replyloom.sources import artefacts
 from replyloom.sources.tables import write_table
 
 MIN_DF = 2
 MAX_FEATURES = 200_000
 # Postings of one term that may meet in one task of a shuffle join.
 SLICE_ROWS = 1_000_000
+# Postings of a block, about, and the ratio of the largest to the smallest weight in one.
+BLOCK_POSTINGS = 128
+BAND = 1.25
+# What an index consists of.
+TABLES = ("docs", "groups", "terms", "vectors", "blocks")
 
 
 def corpus_full(pairs: DataFrame, order: str = "src_ord") -> DataFrame:
@@ -115,8 +121,8 @@ def idf(n_docs: Column, df: Column) -> Column:
     return F.log((n_docs + 1.0) / (df + 1.0)) + 1.0
 
 
-def weight_vectors(entries: DataFrame, terms: DataFrame, key: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(key, term, weight, *carry): sublinear tf times idf, scaled to unit length per key.
+def unit_vectors(entries: DataFrame, terms: DataFrame, key: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, v): per key its (term, weight, *carry), sublinear tf times idf scaled to unit length.
 
     ``carry`` names further columns of ``terms`` to keep. One shuffle by key; each key's
     entries come from one task, so they are gathered there already.
@@ -132,19 +138,28 @@ def weight_vectors(entries: DataFrame, terms: DataFrame, key: str, carry: tuple[
     vectors = raw.groupBy(key).agg(
         F.collect_list("e").alias("v"), F.sqrt(F.sum(F.col("e.w") * F.col("e.w"))).alias("norm")
     )
-    return vectors.select(key, "norm", F.explode("v").alias("e")).select(
-        key, "e.term", (F.col("e.w") / F.col("norm")).alias("weight"), *[f"e.{c}" for c in carry]
+    scaled = lambda e: F.struct(
+        e["term"].alias("term"), (e["w"] / F.col("norm")).alias("weight"), *[e[c].alias(c) for c in carry]
     )
+    return vectors.select(key, F.transform("v", scaled).alias("v"))
+
+
+def weight_vectors(entries: DataFrame, terms: DataFrame, key: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``unit_vectors`` as rows (key, term, weight, *carry)."""
+    flat = unit_vectors(entries, terms, key, carry).select(key, F.explode("v").alias("e"))
+    return flat.select(key, "e.term", "e.weight", *[f"e.{c}" for c in carry])
 
 
 @dataclass(frozen=True)
 class TextIndex:
-    """Index tables.
+    """Index tables, all Parquet in one folder.
 
     ``docs``: doc_id, the payload and content_key (documents with equal words share it);
-    ``groups``: doc_id of the first document of each content_key, and its copies;
-    ``terms``: term, cf, df, idf, max_weight; ``postings``: term, doc_id, weight, slices
-    (parts a hot term is split into), for the first document of each group only.
+    ``groups``: doc_id of the first document of each content_key, its copies and term counts;
+    ``terms``: term, cf, df, idf, max_weight; ``vectors``: doc_id, terms (term, weight) for the
+    first document of each group; ``blocks``: the same weights by term, sorted by it, in blocks
+    of about ``BLOCK_POSTINGS`` postings of nearly equal weight with the largest as max_weight;
+    ``slices`` says into how many parts a hot term's blocks may be split.
     ``bounded`` says that the number of terms has a fixed bound that allows a broadcast,
     ``has_copies`` that some group has more than one document.
     """
@@ -152,7 +167,8 @@ class TextIndex:
     docs: DataFrame
     groups: DataFrame
     terms: DataFrame
-    postings: DataFrame
+    vectors: DataFrame
+    blocks: DataFrame
     ngram_max: int
     bounded: bool
     has_copies: bool
@@ -160,12 +176,19 @@ class TextIndex:
     def lookup_terms(self) -> DataFrame:
         return F.broadcast(self.terms) if self.bounded else self.terms
 
+    @property
+    def postings(self) -> DataFrame:
+        """(term, doc_id, weight, slices) for the first document of each group."""
+        flat = self.blocks.select("term", "slices", F.explode("postings").alias("e"))
+        return flat.select("term", "e.doc_id", "e.weight", "slices")
+
     def document_weights(self) -> DataFrame:
         """(doc_id, term, weight) of every document, copies included."""
         first = self.groups.select(F.col("doc_id").alias("first_id"), "content_key")
         members = self.docs.select("doc_id", "content_key").join(first, "content_key")
-        postings = self.postings.select(F.col("doc_id").alias("first_id"), "term", "weight")
-        return members.join(postings, "first_id").select("doc_id", "term", "weight")
+        vectors = self.vectors.withColumnRenamed("doc_id", "first_id")
+        flat = members.join(vectors, "first_id").select("doc_id", F.explode("terms").alias("e"))
+        return flat.select("doc_id", "e.term", "e.weight")
 
     def counts(self) -> DataFrame:
         """(stage, n) for documents and features."""
@@ -176,32 +199,67 @@ class TextIndex:
         ]
         return rows[0].unionByName(rows[1])
 
-    def save(self, path: str) -> None:
-        """Write the tables; postings sorted by term so that a scan can skip row groups."""
-        for name in ("docs", "groups", "terms"):
-            write_table(getattr(self, name), os.path.join(path, name))
-        ordered = self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-        write_table(ordered, os.path.join(path, "postings"))
+    def save(self, root: str) -> str:
+        """Publish the index as a new version below ``root``; a reader never sees half of it."""
+        return artefacts.publish(self.docs.sparkSession, root, self._write)
+
+    def _write(self, folder: str) -> None:
+        for name in TABLES:
+            table = getattr(self, name)
+            if name == "blocks":
+                table = table.repartitionByRange("term", "max_weight").sortWithinPartitions("term", F.desc("max_weight"))
+            write_table(table, os.path.join(folder, name))
         meta = self.docs.sparkSession.createDataFrame(
             [(self.ngram_max, self.bounded, self.has_copies)],
             "ngram_max int, bounded boolean, has_copies boolean",
         )
-        write_table(meta, os.path.join(path, "meta"))
+        write_table(meta, os.path.join(folder, "meta"))
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> TextIndex:
-        tables = [spark.read.parquet(os.path.join(path, n)) for n in ("docs", "groups", "terms", "postings")]
-        return cls(*tables, *spark.read.parquet(os.path.join(path, "meta")).first())
+    def load(cls, spark: SparkSession, root: str) -> TextIndex:
+        """The newest version published below ``root``."""
+        folder = artefacts.current(spark, root)
+        tables = [spark.read.parquet(os.path.join(folder, n)) for n in TABLES]
+        return cls(*tables, *spark.read.parquet(os.path.join(folder, "meta")).first())
 
 
 def index_terms(
     entries: DataFrame, n_docs: Column, min_df: int = MIN_DF, max_features: int | None = MAX_FEATURES
 ) -> DataFrame:
     """(term, cf, df, idf) from term entries of ``n_docs`` documents."""
-    chosen = select_vocabulary(term_stats(entries), min_df, max_features)
+    # The cut looks at the frequent enough terms several times; counting them happens once.
+    stats = session.checkpoint(term_stats(entries).where(F.col("df") >= min_df))
+    chosen = select_vocabulary(stats, min_df, max_features)
     return chosen.withColumn("idf", idf(n_docs, F.col("df")))
 
 
+def weight_blocks(vectors: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, max_weight, slices, postings), sorted by term and falling max_weight.
+
+    The postings of a term that fills more than one block are cut into bands of weights, each
+    band spread by document over a number of blocks that follows the term's frequency. A frequent
+    term is thus many groups, and one range shuffle both builds the blocks and sorts them.
+    """
+    flat = vectors.select("doc_id", F.explode("terms").alias("e")).select("doc_id", "e.term", "e.weight")
+    sized = flat.join(terms.select("term", "df"), "term")
+    by_weight = F.floor(-F.log(F.col("weight")) / F.log(F.lit(BAND))).cast("int")
+    band = F.when(F.col("df") > BLOCK_POSTINGS, by_weight).otherwise(0)
+    slots = F.ceil(F.col("df") / F.lit(4 * BLOCK_POSTINGS))
+    placed = sized.withColumns({"band": band, "slot": F.pmod(F.xxhash64("doc_id"), slots).cast("int")})
+    key = ["term", "band", "slot"]
+    return (
+        placed.repartitionByRange(*key)
+        .groupBy(*key)
+        .agg(
+            F.max("weight").alias("max_weight"),
+            F.ceil(F.max("df") / F.lit(SLICE_ROWS)).cast("int").alias("slices"),
+            F.collect_list(F.struct("doc_id", "weight")).alias("postings"),
+        )
+        .select("term", "max_weight", "slices", "postings")
+        .sortWithinPartitions("term", F.desc("max_weight"))
+    )
+
+
 def build_index(
     docs: DataFrame,
     key: str = "src_ord",
@@ -210,36 +268,39 @@ def build_index(
     min_df: int = MIN_DF,
     max_features: int | None = MAX_FEATURES,
 ) -> TextIndex:
-    """Fit the vocabulary and materialise the index tables of ``docs``.
+    """Fit the vocabulary and write the index tables of ``docs`` below the shared folder.
 
     ``key`` must be unique. Documents with the same words have the same vector, however
     many they are: they are grouped, counted with their number in the statistics and
     stored once, so that a text copied very often costs a query no more than any other.
+    Each text is cut into words once and into terms once; what was counted comes with the writes.
     """
-    keyed = docs.withColumnRenamed(key, "doc_id").withColumn("content_key", F.md5(signature(F.col(text))))
-    docs = session.checkpoint(keyed)
-    groups = session.checkpoint(
-        docs.select("doc_id", signature(F.col(text)).alias("words"))
-        .groupBy("words")
+    spark = docs.sparkSession
+    folder = session.fresh_dir(spark, "index")
+
+    def written(name: str, df: DataFrame) -> DataFrame:
+        write_table(df, os.path.join(folder, name))
+        return spark.read.schema(df.schema).parquet(os.path.join(folder, name))
+
+    keyed = docs.withColumnRenamed(key, "doc_id").withColumn("__words", signature(F.col(text)))
+    worded = written("docs", keyed.withColumn("content_key", F.md5("__words")))
+    seen = Observation()
+    groups = (
+        worded.select("doc_id", "content_key", F.col("__words").alias("words"))
+        .groupBy("content_key", "words")
         .agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+        .select("doc_id", "content_key", "copies", signature_terms(F.col("words"), ngram_max).alias("counts"))
     )
-    entries = groups.select(
-        "doc_id", "copies", F.explode(signature_terms(F.col("words"), ngram_max)).alias("e")
-    ).select("doc_id", "copies", "e.term", "e.tf")
-    n_docs = groups.agg(F.sum("copies").alias("n")).scalar()
-    terms = session.checkpoint(index_terms(entries, n_docs, min_df, max_features))
+    observed = groups.observe(seen, F.sum("copies").alias("n_docs"), F.max("copies").alias("most"))
+    groups = written("groups", observed)
+    n_docs, most = seen.get["n_docs"] or 0, seen.get["most"] or 0
+    entries = groups.select("doc_id", "copies", F.explode("counts").alias("e")).select("doc_id", "copies", "e.term", "e.tf")
+    terms = written("fitted", index_terms(entries, F.lit(n_docs), min_df, max_features))
     bounded = max_features is not None and max_features <= session.BROADCAST_ROWS
     lookup = F.broadcast(terms) if bounded else terms
-    vectors = weight_vectors(entries, lookup, "doc_id", carry=("df",))
-    slices = F.ceil(F.col("df") / F.lit(SLICE_ROWS)).cast("int").alias("slices")
-    postings = session.checkpoint(vectors.select("term", "doc_id", "weight", slices))
-    bounds = postings.groupBy("term").agg(F.max("weight").alias("max_weight"))
+    vectors = written("vectors", unit_vectors(entries, lookup, "doc_id").select("doc_id", F.col("v").alias("terms")))
+    blocks = written("blocks", weight_blocks(vectors, lookup))
+    bounds = blocks.groupBy("term").agg(F.max("max_weight").alias("max_weight"))
     return TextIndex(
-        docs,
-        groups.select("doc_id", F.md5("words").alias("content_key"), "copies"),
-        session.checkpoint(terms.join(bounds, "term")),
-        postings,
-        ngram_max,
-        bounded,
-        not groups.where(F.col("copies") > 1).isEmpty(),
+        worded.drop("__words"), groups, written("terms", terms.join(bounds, "term")), vectors, blocks, ngram_max, bounded, most > 1
     )

@@ -3,26 +3,31 @@
 Frequent terms say little yet have most postings. For each query a lower bound of its k-th
 best score comes from its rarest terms; frequent terms whose largest possible contribution
 together stays below that bound cannot bring in a document on their own. They are left out
-of the join that finds candidates and added afterwards for the few that remain. The result
-equals the full product.
+of the join that finds candidates and added afterwards, from the vectors of the few documents
+that remain. Of the other terms a block of postings is skipped when its largest weight and
+everything else the query has cannot reach the bound. The result equals the full product.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from replyloom import session
-from replyloom.functions.text import signature
+from replyloom.functions.text import clean_response, signature
 from replyloom.operators.index import SLICE_ROWS, TextIndex, term_entries, weight_vectors
 from replyloom.operators.rows import top_n, unit_median
 
 # Scores are compared after rounding to this many digits; bounds leave twice that room.
 DIGITS = 6
 SLACK = 2.0 * 10**-DIGITS
+# Query terms up to which their list goes to the scan of the blocks, in lists of this length.
+FILTER_ROWS = 2_000
+IN_VALUES = 10
 # Documents per wanted result that the rarest terms should reach.
 PROBE_FACTOR = 32
 
@@ -33,22 +38,31 @@ def query_vectors(queries: DataFrame, index: TextIndex, key: str, text: str) ->
     return weight_vectors(entries, index.lookup_terms(), "query_id", carry=("df", "max_weight"))
 
 
-def _on_terms(postings: DataFrame, wanted: DataFrame, small: bool) -> DataFrame:
-    """Join postings with query terms; (query_id, doc_id, part) with part = product.
+def _or_in(column: str, values: Sequence) -> Column:
+    """``column`` in ``values`` as a chain of short lists, each of which a Parquet scan checks exactly."""
+    lists = [F.col(column).isin(list(values[i : i + IN_VALUES])) for i in range(0, len(values), IN_VALUES)]
+    return reduce(lambda a, b: a | b, lists)
 
-    A bounded set of query terms is broadcast and the postings stay where they are.
-    Otherwise both sides shuffle by (term, slice): the postings of a frequent term are
-    spread over as many slices as its document frequency asks for.
+
+def _on_terms(blocks: DataFrame, wanted: DataFrame, small: bool) -> DataFrame:
+    """Join blocks with query terms; (query_id, doc_id, part) with part = product.
+
+    ``wanted`` may have a column ``needed``: blocks whose largest weight stays below it are
+    skipped before their postings are unpacked. A bounded set of query terms is broadcast
+    and the blocks stay where they are. Otherwise both sides shuffle by (term, slice): the
+    blocks of a frequent term are spread over as many slices as its document frequency asks for.
     """
-    product = (F.col("weight") * F.col("query_weight")).alias("part")
     if small:
-        joined = postings.join(F.broadcast(wanted), "term")
+        joined = blocks.join(F.broadcast(wanted), "term")
     else:
         slices = F.ceil(F.col("df") / F.lit(SLICE_ROWS)).cast("int")
         sliced = wanted.withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1)))
-        spread = postings.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int"))
+        spread = blocks.withColumn("slice", F.pmod(F.xxhash64("max_weight", F.col("postings")[0]), F.col("slices")).cast("int"))
         joined = spread.join(sliced, ["term", "slice"])
-    return joined.select("query_id", "doc_id", product)
+    if "needed" in wanted.columns:
+        joined = joined.where(F.col("max_weight") >= F.col("needed"))
+    parts = joined.select("query_id", "query_weight", F.explode("postings").alias("p"))
+    return parts.select("query_id", "p.doc_id", (F.col("p.weight") * F.col("query_weight")).alias("part"))
 
 
 def _sum_parts(parts: DataFrame) -> DataFrame:
@@ -88,38 +102,44 @@ def top_groups(
     vectors = session.checkpoint(
         query_vectors(queries, index, key, text).withColumnRenamed("weight", "query_weight")
     )
-    small = session.is_small(vectors)
+    n = vectors.count()
+    small = n <= session.BROADCAST_ROWS
     hint = F.broadcast if small else (lambda df: df)
+    blocks = index.blocks
+    if n <= FILTER_ROWS:
+        terms = sorted({r["term"] for r in vectors.select("term").collect()})
+        blocks = blocks.where(_or_in("term", terms) if terms else F.lit(False))
 
-    floor = _kth(_sum_parts(_on_terms(index.postings, _probe_terms(vectors, k), small)), k)
+    probes = _probe_terms(vectors, k).select("query_id", "term", "query_weight", "df")
+    floor = _kth(_sum_parts(_on_terms(blocks, probes, small)), k)
     # Terms from most to least frequent, with the most they and all before can contribute.
-    frequent = (
-        Window.partitionBy("query_id")
-        .orderBy(F.col("df").desc(), "term")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
+    whole = Window.partitionBy("query_id")
+    frequent = whole.orderBy(F.col("df").desc(), "term").rowsBetween(Window.unboundedPreceding, 0)
     bounded = (
         vectors.withColumn("bound", F.col("query_weight") * F.col("max_weight"))
-        .withColumn("upto", F.sum("bound").over(frequent))
+        .withColumns({"upto": F.sum("bound").over(frequent), "all": F.sum("bound").over(whole)})
         .join(hint(floor), "query_id", "left")
         .withColumn("floor", F.coalesce("kth", F.lit(0.0)) - SLACK)
         .withColumn("essential", F.col("upto") >= F.col("floor"))
-        .drop("kth")
+        # What a block's largest weight must be for one of its documents to reach the floor.
+        .withColumn("needed", (F.col("floor") - F.col("all") + F.col("bound")) / F.col("query_weight") - SLACK)
+        .select("query_id", "term", "query_weight", "df", "bound", "floor", "essential", "needed")
     )
     bounded = session.checkpoint(bounded)
-    essential, rest = bounded.where("essential"), bounded.where(~F.col("essential"))
-    open_bound = (
-        bounded.groupBy("query_id")
-        .agg(
-            F.coalesce(F.sum(F.when(~F.col("essential"), F.col("bound"))), F.lit(0.0)).alias("open"),
-            F.first("floor").alias("floor"),
-        )
+    essential = bounded.where("essential")
+    least, has_open = bounded.agg(F.min(F.when(F.col("essential"), F.col("needed"))), F.bool_or(~F.col("essential"))).first()
+    open_terms = F.collect_list(F.when(~F.col("essential"), F.struct("term", "query_weight")))
+    open_bound = bounded.groupBy("query_id").agg(
+        F.coalesce(F.sum(F.when(~F.col("essential"), F.col("bound"))), F.lit(0.0)).alias("open"),
+        F.first("floor").alias("floor"),
+        F.map_from_entries(open_terms).alias("open_terms"),
     )
-    partial = _sum_parts(_on_terms(index.postings, essential, small))
-    # Scores of documents that no left-out term can change are final; the others stay
-    # candidates while their part plus all left-out terms reaches the bound.
+    blocks = blocks.where(F.col("max_weight") >= F.lit(0.0 if least is None else least))
+    partial = _sum_parts(_on_terms(blocks, essential.select("query_id", "term", "query_weight", "df", "needed"), small))
+    # A document of a skipped block cannot reach the floor, whatever else it holds. The others
+    # stay candidates while their part plus all left-out terms reaches it.
     candidates = session.checkpoint(
-        partial.join(hint(open_bound), "query_id").where(
+        partial.join(hint(open_bound.select("query_id", "open", "floor")), "query_id").where(
             F.col("part") + F.col("open") >= F.col("floor")
         )
     )
@@ -127,20 +147,23 @@ def top_groups(
     candidates = (
         candidates.join(hint(tighter), "query_id", "left")
         .where(F.col("part") + F.col("open") >= F.coalesce("kth", F.lit(0.0)) - SLACK)
-        .select("query_id", "doc_id", "part")
-    )
-    needed = candidates.select("query_id", "doc_id").join(
-        hint(rest.select("query_id", "term", "query_weight")), "query_id"
-    )
-    needed = session.checkpoint(needed)
-    added = index.postings.join(session.broadcast_if_small(needed), ["term", "doc_id"]).select(
-        "query_id", "doc_id", (F.col("weight") * F.col("query_weight")).alias("part")
-    )
-    scores = _sum_parts(candidates.unionByName(added)).select(
-        "query_id", "doc_id", F.round("part", DIGITS).alias("similarity")
+        .join(hint(open_bound.select("query_id", "open_terms")), "query_id")
+        .select("query_id", "doc_id", "part", "open_terms")
     )
+    if has_open:
+        candidates = _with_open_terms(session.checkpoint(candidates), index)
+    scores = candidates.select("query_id", "doc_id", F.round("part", DIGITS).alias("similarity"))
     # A query with vectors has at least one row there and at most k rows here.
-    return _best(scores, k).drop("rank"), small and session.is_small(vectors, session.BROADCAST_ROWS // k)
+    return _best(scores, k).drop("rank"), small and n <= session.BROADCAST_ROWS // k
+
+
+def _with_open_terms(candidates: DataFrame, index: TextIndex) -> DataFrame:
+    """Add to each candidate's part what the left-out terms of its query give, from its own vector."""
+    more = F.aggregate(
+        "terms", F.lit(0.0), lambda s, e: s + F.coalesce(F.element_at("open_terms", e["term"]), F.lit(0.0)) * e["weight"]
+    )
+    joined = index.vectors.join(session.broadcast_if_small(candidates), "doc_id")
+    return joined.select("query_id", "doc_id", (F.col("part") + more).alias("part"))
 
 
 def _best(scores: DataFrame, k: int) -> DataFrame:
@@ -176,9 +199,12 @@ def retrieve(
     key: str = "query_id",
     text: str = "customer_text",
     payload: Sequence[str] = ("customer_text", "brand_response"),
+    cleaned: Sequence[str] = (),
 ) -> DataFrame:
     """Top-k documents with their payload as ``retrieved_*`` columns.
 
+    Columns named in ``cleaned`` come as cleaned replies; only found documents are cleaned.
+
     Returns (key, rank, doc_id, similarity, retrieved_...). A query without any shared
     term keeps one row with rank 1, similarity 0.0 and NULL document columns. Queries with
     the same words are looked up once.
@@ -197,7 +223,7 @@ def retrieve(
             F.coalesce("rank", F.lit(1)).alias("rank"),
             "doc_id",
             F.coalesce("similarity", F.lit(0.0)).alias("similarity"),
-            *[f"retrieved_{c}" for c in payload],
+            *[(clean_response(F.col(f"retrieved_{c}")) if c in cleaned else F.col(f"retrieved_{c}")).alias(f"retrieved_{c}") for c in payload],
         )
     )
 

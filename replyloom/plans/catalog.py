@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from replyloom.functions import text as tx
-from replyloom.functions.lexicon import risk_flag, weak_label
+from replyloom.functions.lexicon import RISK_LEXICON, risk_flag, weak_label
 from replyloom.operators import classify, failures, index, judging, metrics, pairing, retrieve, rows
-from replyloom.operators import sampling, triage
+from replyloom.operators import lexicon_join, sampling, triage
 from replyloom.plans import views
 from replyloom.session import checkpoint, fresh_dir
+from replyloom.sources.tables import read_table, write_table
 from replyloom.streaming import triage_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,6 +152,34 @@ def weak_label_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- samples and splits ---------------------------------------------------------------
 
 
+@query
+def weak_label_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same labels with the lexicon as a table."""
+    index_ = lexicon_join.gram_index(views.LANGUAGE_LEXICON.to_table(spark))
+    labelled = lexicon_join.weak_labels(views.documents(spark, sf_dir), index_, fallback="none")
+    return labelled.select(
+        "sample_id", "suggested_intent", "suggestion_score", F.round("suggestion_share", 6).alias("suggestion_share")
+    )
+
+
+@query
+def weak_label_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents labelled by a lexicon that grows with its table: benchmark words by initial."""
+    words = views.benchmark(spark, sf_dir).select(F.explode(tx.tokens(F.col("customer_text"))).alias("term"))
+    initial = F.substring("term", 1, 1)
+    lexicon = words.where(F.length("term") >= 4).select(initial.alias("category"), F.ascii(initial).alias("priority"), "term")
+    labelled = lexicon_join.weak_labels(views.documents(spark, sf_dir), lexicon_join.gram_index(lexicon), fallback="none")
+    return labelled.select("sample_id", "suggested_intent", "suggestion_score", F.round("suggestion_share", 6).alias("suggestion_share"))
+
+
+@query
+def risk_flag_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The risk of each document with the lexicon as a table."""
+    index_ = lexicon_join.gram_index(RISK_LEXICON.to_table(spark))
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexicon_join.risk_flags(docs, index_, "text", "risk").select("doc_id", "risk")
+
+
 @query
 def intent_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.intent_sample(views.pairs(spark, sf_dir))
@@ -270,6 +299,24 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _benchmark_matches(spark, sf_dir, 5).select("query_id", "rank", "doc_id", "similarity")
 
 
+@query
+def saved_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index published as a version, and looked up after it is loaded again."""
+    root = fresh_dir(spark, "published")
+    index.build_index(_leakage_free(spark, sf_dir)).save(root)
+    loaded = index.TextIndex.load(spark, root)
+    found = retrieve.retrieve(views.benchmark(spark, sf_dir), loaded, 3)
+    return found.select("query_id", "rank", "doc_id", "similarity")
+
+
+@query
+def topk_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest answered messages of each waiting one, with their replies cleaned."""
+    built = _pair_index(spark, sf_dir)
+    found = retrieve.retrieve(views.open_messages(spark, sf_dir), built, 5, cleaned=("brand_response",))
+    return found.select("query_id", "rank", "doc_id", "similarity", "retrieved_customer_text", "retrieved_brand_response")
+
+
 @query
 def cosine_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark texts against all documents, copies of other sources included."""
@@ -503,38 +550,60 @@ def _parts(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [split.where(F.col("split") == name) for name in ("train", "validation", "test")]
 
 
+@query
+def train_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The design matrix of the training documents, one row per entry."""
+    train, _, _ = _parts(spark, sf_dir)
+    terms = classify.fit_features(train, "src_ord", "customer_text", 1, 1, None)
+    entries = classify.feature_entries(train, terms, "src_ord", "customer_text", 1)
+    return entries.select("src_ord", "term", "idx", F.round("weight", 6).alias("weight"))
+
+
+@query
+def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, _, _ = _parts(spark, sf_dir)
+    return classify.class_weights(train, "final_intent").withColumn("weight", F.round("weight", 6))
+
+
 @query
 def train_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions of one fitted classifier on the test documents."""
     train, _, test = _parts(spark, sf_dir)
     model = classify.train_intent(train)
     predicted = model.predict(test.select("src_ord", "final_intent", "customer_text"), "src_ord")
-    sure = F.col("intent_confidence").between(0.25, 1.0)  # the largest of four shares
-    return predicted.select("src_ord", "final_intent", "predicted_intent", sure.alias("sure"))
+    sure = F.round("intent_confidence", 4)
+    return predicted.select("src_ord", "final_intent", "predicted_intent", sure.alias("intent_confidence"))
 
 
-def _predicted_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Test documents as gold rows with the fitted classifier's predictions."""
-    train, _, test = _parts(spark, sf_dir)
+@query
+def test_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report of the grid's winner, saved and loaded, on rows that neither fit nor selection has seen."""
+    train, validation, test = _parts(spark, sf_dir)
+    best, _ = classify.grid_select(train, validation)
+    root = fresh_dir(spark, "classifier")
+    best.save(root)
+    predicted = classify.IntentModel.load(spark, root).predict(test.select("src_ord", "final_intent", "customer_text"), "src_ord")
+    return metrics.class_metrics(checkpoint(predicted), "final_intent", "predicted_intent")
+
+
+def _stored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test documents as gold rows with predictions of which some are wrong, read from a table."""
+    _, _, test = _parts(spark, sf_dir)
     gold = test.select("sample_id", "customer_text", F.col("final_intent").alias("gold_intent")).withColumn(
         "gold_escalate", F.col("gold_intent").isin(*views.HIGH_RISK_LANGUAGES)
     )
-    return checkpoint(classify.train_intent(train).predict(gold, "sample_id"))
-
-
-@query
-def test_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Report of the fitted classifier on rows that neither fit nor selection has seen."""
-    return metrics.class_metrics(_predicted_test(spark, sf_dir), "gold_intent", "predicted_intent")
+    path = fresh_dir(spark, "predictions")
+    write_table(views.classified(gold), path)
+    return read_table(spark, path)
 
 
 def _model_evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checkpoint(triage.evaluate(_predicted_test(spark, sf_dir), _pair_index(spark, sf_dir), **CASCADE))
+    return checkpoint(triage.evaluate(_stored_predictions(spark, sf_dir), _pair_index(spark, sf_dir), **CASCADE))
 
 
 @query
 def model_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions on the test documents from the fitted classifier and the index."""
+    """Decisions on the test documents from stored predictions and the index."""
     return _model_evaluated(spark, sf_dir).select(
         "sample_id", "predicted_intent", "retrieval_similarity", "predicted_escalate", "escalation_reason", "intent_correct"
     )

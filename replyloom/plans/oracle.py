@@ -302,14 +302,23 @@ DECORATED = """'@115712 ' || brand_response || ' , really ! You can check here:
 SHEET_BLANKS = "'' AS candidate_intent, '' AS final_intent, '' AS label_confidence, '' AS label_notes"
 
 MODEL_ROWS = f"""{DOCS}, {split()}, {PAIR_CORPUS},
-    test AS (SELECT sample_id, customer_text, final_intent AS gold_intent, final_intent AS predicted_intent,
+    test AS (SELECT sample_id, customer_text, final_intent AS gold_intent,
       final_intent IN ({ids(HIGH_RISK_LANGUAGES)}) AS gold_escalate FROM split WHERE split = 'test'),
     {matches("corpus", "test", "sample_id", 1)},
-    evaluated AS (SELECT t.*, f.similarity AS retrieval_similarity,
-      {reason("t.customer_text", "t.predicted_intent", "1.0", "f.similarity")} AS escalation_reason
-      FROM test t JOIN found f ON f.query_id = t.sample_id),
+    {weak("test", "customer_text", LANGUAGE_LEXICON, "none", "sample_id, customer_text, gold_intent, gold_escalate")},
+    evaluated AS (SELECT w.*, w.suggested_intent AS predicted_intent, f.similarity AS retrieval_similarity,
+      {reason("w.customer_text", "w.suggested_intent", "w.suggestion_share", "f.similarity")} AS escalation_reason
+      FROM weak w JOIN found f ON f.query_id = w.sample_id),
     flagged AS (SELECT *, escalation_reason <> 'safe_to_auto_handle' AS predicted_escalate FROM evaluated)"""
 
+# The design matrix of the fit: one-word terms of the training rows, no floor and no cap.
+TRAIN_TERMS = f"""{DOCS}, {split()}, fit AS (SELECT * FROM split WHERE split = 'train'),
+    t_tok AS (SELECT src_ord AS id, {words("customer_text")} AS t FROM fit),
+    t_tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(t) AS term FROM t_tok) GROUP BY id, term),
+    vocab AS (SELECT term, ln((1.0 + (SELECT count(*) FROM fit)) / (1.0 + count(*))) + 1.0 AS idf,
+      row_number() OVER (ORDER BY term) - 1 AS idx FROM t_tf GROUP BY term),
+    t_raw AS (SELECT id, term, idx, (1.0 + ln(tf)) * idf AS w FROM t_tf JOIN vocab USING (term))"""
+
 ORACLE: dict[str, str] = {
     "message_scan": f"""WITH {MSG} SELECT tweet_id, author_id, inbound,
       parent_id::VARCHAR AS in_response_to_tweet_id, text, created_at FROM msg""",
@@ -340,6 +349,19 @@ ORACLE: dict[str, str] = {
     "risk_flag_rows": f"SELECT doc_id, {risk('text', RISK_LEXICON)} AS risk FROM documents",
     "weak_label_rows": f"""WITH {WEAK_DOCS} SELECT sample_id, suggested_intent, suggestion_score,
       round(suggestion_share, 6) AS suggestion_share FROM weak""",
+    "weak_label_joined": f"""WITH {WEAK_DOCS} SELECT sample_id, suggested_intent, suggestion_score,
+      round(suggestion_share, 6) AS suggestion_share FROM weak""",
+    "risk_flag_joined": f"SELECT doc_id, {risk('text', RISK_LEXICON)} AS risk FROM documents",
+    "weak_label_words": f"""WITH terms AS (SELECT DISTINCT substr(t, 1, 1) AS category, t AS term
+        FROM (SELECT unnest({words("text")}) AS t FROM benchmark) WHERE length(t) >= 4),
+      shown AS (SELECT doc_id AS sample_id, {normalize("coalesce(text, '')")} AS x FROM documents),
+      hits AS (SELECT sample_id, category, count(*) AS score FROM shown JOIN terms ON contains(x, term) GROUP BY ALL),
+      top AS (SELECT *, max(score) OVER (PARTITION BY sample_id) AS best FROM hits),
+      named AS (SELECT sample_id, CASE WHEN count(*) FILTER (score = best) > 1 THEN 'ambiguous'
+        ELSE any_value(category) FILTER (score = best) END AS name, any_value(best) AS best,
+        any_value(best)::DOUBLE / sum(score) AS share FROM top GROUP BY sample_id)
+      SELECT sample_id, coalesce(name, 'none') AS suggested_intent, coalesce(best, 0)::INT AS suggestion_score,
+        round(coalesce(share, 0.0), 6) AS suggestion_share FROM shown LEFT JOIN named USING (sample_id)""",
     "weak_intent_rows": f"""WITH {MSG}, {weak("msg", "text", INTENT_LEXICON, "other_non_actionable", "tweet_id")}
       SELECT tweet_id, suggested_intent, suggestion_score FROM weak""",
     "weak_label_dist": f"WITH {WEAK_DOCS} SELECT suggested_intent, count(*) AS n FROM weak GROUP BY 1",
@@ -361,23 +383,22 @@ ORACLE: dict[str, str] = {
     "review_template": f"""WITH {PAIRS} SELECT row_number() OVER (ORDER BY src_ord) AS sample_id,
       customer_text, brand_response, '' AS gold_intent, '' AS gold_escalate, '' AS gold_escalation_reason,
       '' AS review_notes, 'pending' AS review_status FROM pairs""",
-    "test_report": f"""WITH {DOCS}, {split()},
-      shown AS (SELECT final_intent AS label, count(*) AS n FROM split WHERE split = 'test' GROUP BY 1)
-      SELECT label, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1, n::BIGINT AS support FROM shown
-      UNION ALL SELECT l, 1.0, 1.0, 1.0, (SELECT sum(n)::BIGINT FROM shown)
-      FROM (VALUES ('accuracy'), ('macro avg'), ('weighted avg')) v(l)""",
     "model_triage": f"""WITH {MODEL_ROWS} SELECT sample_id, predicted_intent, retrieval_similarity, predicted_escalate,
-      escalation_reason, true AS intent_correct FROM flagged""",
-    "model_eval_summary": f"""WITH {MODEL_ROWS},
-      rates AS ({"WITH " + binary("flagged", "gold_escalate", "predicted_escalate")})
-      SELECT m AS metric, '' AS label, 1.0::DOUBLE AS value FROM (VALUES ('accuracy'), ('macro_f1')) v(m)
-      UNION ALL SELECT 'precision', '', precision FROM rates UNION ALL SELECT 'recall', '', recall FROM rates
-      UNION ALL SELECT 'f1', '', f1 FROM rates UNION ALL SELECT 'escalation_rate', '', escalation_rate FROM rates
-      UNION ALL SELECT 'auto_handle_rate', '', auto_handle_rate FROM rates
+      escalation_reason, gold_intent = predicted_intent AS intent_correct FROM flagged""",
+    "model_eval_summary": f"""WITH {MODEL_ROWS}, {report("flagged", "gold_intent", "predicted_intent")},
+      binary_rates AS ({"WITH " + binary("flagged", "gold_escalate", "predicted_escalate")})
+      SELECT 'accuracy' AS metric, '' AS label, round(avg((gold_intent = predicted_intent)::INT), 6) AS value FROM flagged
+      UNION ALL SELECT 'macro_f1', '', round(avg(f1), 6) FROM report
+      UNION ALL SELECT 'precision', '', precision FROM binary_rates UNION ALL SELECT 'recall', '', recall FROM binary_rates
+      UNION ALL SELECT 'f1', '', f1 FROM binary_rates UNION ALL SELECT 'escalation_rate', '', escalation_rate FROM binary_rates
+      UNION ALL SELECT 'auto_handle_rate', '', auto_handle_rate FROM binary_rates
       UNION ALL SELECT 'reason', escalation_reason, count(*)::DOUBLE FROM flagged GROUP BY 2
       UNION ALL SELECT 'pair', gold_intent || '>' || predicted_intent, count(*)::DOUBLE FROM flagged GROUP BY 2""",
-    "train_intent": f"""WITH {DOCS}, {split()} SELECT sample_id AS src_ord, final_intent,
-      final_intent AS predicted_intent, true AS sure FROM split WHERE split = 'test'""",
+    "train_features": f"""WITH {TRAIN_TERMS} SELECT id AS src_ord, term, idx,
+      round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM t_raw""",
+    "class_weights": f"""WITH {DOCS}, {split()}, fit AS (SELECT final_intent, count(*) AS n FROM split
+      WHERE split = 'train' GROUP BY 1) SELECT final_intent, n,
+      round((SELECT sum(n) FROM fit)::DOUBLE / ((SELECT count(*) FROM fit) * n), 6) AS weight FROM fit""",
     "stratified_split": f"WITH {DOCS}, {split()} SELECT sample_id, final_intent, split FROM split",
     "split_without_golden": f"""WITH {DOCS}, {golden(200)},
       {split(f"AND {strip('customer_text')} NOT IN (SELECT {strip('customer_text')} FROM golden)")}
@@ -403,6 +424,11 @@ ORACLE: dict[str, str] = {
       SELECT query_id, doc_id, similarity, retrieved_customer_text, retrieved_brand_response FROM found""",
     "cosine_topk": f"""WITH {DOC_CORPUS}, bench AS (SELECT item_id AS query_id, text AS customer_text FROM benchmark),
       {matches("corpus", "bench", "query_id", 5)} SELECT query_id, rank, doc_id, similarity FROM found""",
+    "saved_index_topk": f"""WITH {DOC_CORPUS}, bench AS (SELECT item_id AS query_id, text AS customer_text FROM benchmark),
+      {matches("corpus", "bench", "query_id", 3)} SELECT query_id, rank, doc_id, similarity FROM found""",
+    "topk_cleaned": f"""WITH {PAIR_CORPUS}, {matches("corpus", "waiting", "query_id", 5)}
+      SELECT query_id, rank, doc_id, similarity, retrieved_customer_text,
+        {clean("retrieved_brand_response")} AS retrieved_brand_response FROM found""",
     "cosine_full": f"""WITH {FULL_CORPUS}, bench AS (SELECT item_id AS query_id, text AS customer_text FROM benchmark),
       {matches("corpus", "bench", "query_id", 3)}
       SELECT query_id, rank, doc_id, similarity, retrieved_brand_response FROM found""",

@@ -10,7 +10,9 @@ import __spark_entry__ as contract
 from tests.oracle_check import compare, connect
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SLOW = {"grid_select"}  # covered in test_classify
+# Fits, which SQL cannot express: held against plain ones in test_classify. Those of a whole grid take long.
+NO_SQL = {"grid_select", "train_intent", "test_report"}
+SLOW = {"grid_select", "test_report"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no tables")
 
@@ -22,7 +24,7 @@ def con():
 
 def test_names_match():
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert set(contract.QUERIES) - set(contract.oracle_sql()) == SLOW
+    assert set(contract.QUERIES) - set(contract.oracle_sql()) == NO_SQL
 
 
 def test_entry(spark):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from replyloom import session
 from replyloom.operators import index, retrieve
+from replyloom.sources import artefacts
 
 
 def terms_of(text):
@@ -177,6 +178,83 @@ def test_save_and_load(spark, tmp_path):
     assert {r.stage: r.n for r in loaded.counts().collect()} == {r.stage: r.n for r in built.counts().collect()}
 
 
+def test_a_killed_writer_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    d, q = frames(spark, *corpus(7))
+    root, built = str(tmp_path / "ix"), index.build_index(d)
+    with pytest.raises(FileNotFoundError):
+        index.TextIndex.load(spark, root)
+    built.save(root)
+    want, real, written = collected(retrieve.retrieve(q, built, 2)), index.write_table, []
+
+    def dies(df, path):
+        if len(written) == 2:
+            raise RuntimeError("killed")
+        written.append(path)
+        real(df, path)
+
+    monkeypatch.setattr(index, "write_table", dies)
+    with pytest.raises(RuntimeError):
+        built.save(root)
+    assert len(written) == 2 and len(artefacts.versions(spark, root)) == 1
+    assert collected(retrieve.retrieve(q, index.TextIndex.load(spark, root), 2)) == want
+    monkeypatch.setattr(index, "write_table", real)
+    newer = index.build_index(d.where("src_ord < 60"))
+    newer.save(root)
+    assert [n for n, _ in artefacts.versions(spark, root)] == [2, 1]
+    loaded = index.TextIndex.load(spark, root)
+    assert loaded.docs.count() == 20 and collected(retrieve.retrieve(q, loaded, 2)) == collected(retrieve.retrieve(q, newer, 2))
+
+
+def test_blocks_hold_each_posting_once(spark, monkeypatch):
+    monkeypatch.setattr(index, "BLOCK_POSTINGS", 2)
+    d, _ = frames(spark, *corpus(8))
+    built = index.build_index(d)
+    flat = built.vectors.select("doc_id", F.explode("terms").alias("e")).select("e.term", "doc_id", "e.weight")
+    rows = lambda df: sorted(map(tuple, df.select("term", "doc_id", "weight").collect()))
+    assert rows(built.postings) == rows(flat)
+    sized = built.blocks.select("max_weight", F.array_max("postings.weight").alias("top"), F.array_min("postings.weight").alias("low"))
+    assert sized.where("max_weight <> top or low * 1.26 < top").count() == 0
+    assert built.blocks.groupBy("term").count().agg(F.max("count")).first()[0] > 8
+
+
+def test_blocks_below_the_bound_are_skipped(spark, monkeypatch):
+    """Blocks that cannot matter are not unpacked, and the result stays the full product."""
+    docs, queries = corpus(9, n_docs=400)
+    d, q = frames(spark, docs, queries)
+    built = index.build_index(d)
+    joined = []
+    real = retrieve._on_terms
+
+    def counted(blocks, wanted, small):
+        if "needed" in wanted.columns:
+            every = blocks.join(wanted, "term")
+            joined.append((every.where("max_weight >= needed").count(), every.count()))
+        return real(blocks, wanted, small)
+
+    monkeypatch.setattr(retrieve, "_on_terms", counted)
+    got = collected(retrieve.retrieve(q, built, 1))
+    assert joined[0][0] < joined[0][1]
+    for key, expected in brute_force(docs, queries, 1).items():
+        assert [i for i, _ in got[key]] == [i for i, _ in expected]
+
+
+@pytest.mark.parametrize("rows", [0, 2000])
+def test_scan_takes_the_terms_of_few_queries(spark, monkeypatch, rows):
+    monkeypatch.setattr(retrieve, "FILTER_ROWS", rows)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    docs, queries = corpus(10)
+    d, q = frames(spark, docs, {k: v for k, v in queries.items() if k < 3})
+    built = index.build_index(d)
+    plans = []
+    real = retrieve._on_terms
+    monkeypatch.setattr(retrieve, "_on_terms", lambda b, w, s: plans.append(b._jdf.queryExecution().toString()) or real(b, w, s))
+    got = collected(retrieve.retrieve(q, built, 2))
+    assert ("In(term" in plans[-1]) == bool(rows) and "GreaterThanOrEqual(max_weight" in plans[-1]
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    want = brute_force(docs, queries, 2)
+    assert {k: [i for i, _ in v] for k, v in got.items()} == {k: [i for i, _ in want[k]] for k in got}
+
+
 def test_corpora(spark):
     data = [
         (0, "hello there", "r1"), (1, "hello there", "r2"), (2, "hello there", "r1"),
