@@ -8,7 +8,7 @@ stripes and row groups by metadata, and Spark reads the stripes of one file in p
 
 Rules for odd input: a null text is the empty text and has only the end id; a null doc_id comes
 before all others; repeated ids or rows each get a row of their own, and rows of one id stand in
-any order that keeps equal texts together; an empty table gives a store without rows; extra
+the order of the input's partitions; an empty table gives a store without rows; extra
 columns are ignored, whatever their names. A text of any length is one row; a row may hold up to
 2^31 ids.
 """
@@ -77,27 +77,30 @@ class PieceEncoder:
         first = lists.offsets.to_numpy().astype(np.int64)
         first, ends = first[:-1] - first[0], first[1:] - first[0]
         coded = lists.flatten().dictionary_encode()
-        words, entry = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        owner = np.repeat(np.arange(len(first)), ends - first)
+        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        entry = index.astype(np.int64)
+        owner = np.repeat(np.arange(len(first), dtype=np.int32), ends - first)
         # A blank starts a token unless white space stands before it; such texts are cut with care.
-        open_ended = np.array([not w or w[-1].isspace() for w in words])[entry]
+        trimmed = pc.binary_length(pc.utf8_rtrim_whitespace(coded.dictionary))
+        whole = pc.and_(pc.equal(trimmed, pc.binary_length(coded.dictionary)), pc.greater(trimmed, 0))
+        open_ended = ~whole.to_numpy(zero_copy_only=False)[index]
         open_ended[ends - 1] = False
         careful = np.unique(owner[open_ended])
         table = self._after_blank(words)
         kept = np.ones(len(entry), bool)
-        kept[np.isin(owner, careful)] = False
-        kept[first] = True
+        if len(careful):
+            kept[np.isin(owner, careful)] = False
+            kept[first] = True
         entry[first] = len(table) + np.arange(len(first))
-        heads = [words[k] for k in coded.indices.to_numpy()[first]]
+        heads = [words[k] for k in index[first].tolist()]
         table += self._alone(heads)
         for k in careful.tolist():
-            piece, *rest = _CUT.split(texts[k].as_py())
-            table[entry[first[k]]] = self._alone([piece])[0] + b"".join(self._after_blank([r[1:] for r in rest]))
+            table[entry[first[k]]] = self._carefully(texts[k].as_py())
         entry, owner = entry[kept], owner[kept]
         stops = np.searchsorted(owner, np.arange(len(first)), side="right")
         entry = np.insert(entry, stops, len(table))
         table.append(np.array([end_id], "<u4").tobytes())
-        sizes = np.array([len(b) // 4 for b in table], np.int64)
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
         flat, starts = np.frombuffer(b"".join(table), "<i4"), np.cumsum(sizes) - sizes
         own = sizes[entry]
         upto = np.cumsum(own)
@@ -105,34 +108,40 @@ class PieceEncoder:
         closes = upto[stops + np.arange(len(stops))]
         return tokens, np.diff(closes, prepend=0)
 
+    def _carefully(self, text: str) -> bytes:
+        """The ids of a text in which white space stands before blanks, which then start no token."""
+        piece, *rest = _CUT.split(text)
+        wide = iter(self._alone([piece, *[r for r in rest if " " in r[1:]]]))
+        words = iter(self._after_blank([r[1:] for r in rest if " " not in r[1:]]))
+        return next(wide) + b"".join([next(wide) if " " in r[1:] else next(words) for r in rest])
+
     def _alone(self, pieces: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [np.array(f.ids, "<u4").tobytes() for f in found]
 
     def _after_blank(self, words: list[str]) -> list[bytes]:
-        """The ids of each of these words with a blank before it, as bytes of 32-bit integers."""
+        """The ids of each of these words, which hold no blank, with a blank before it, as bytes of 32-bit integers."""
         if len(self.young) > MEMO_WORDS:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        unknown = {w for w in words if w not in young}
-        young.update((w, old[w]) for w in unknown if w in old)
-        new = [w for w in unknown if w not in young]
+        unknown = set(words).difference(young)
+        young.update([(w, old[w]) for w in unknown if w in old])
+        new = list(unknown.difference(young))
         if new:
-            # Encoded as one text; the bytes that each id stands for tell where a word ends.
-            ids = np.array(self._alone_ids(" " + " ".join(new)), "<u4")
-            ends = np.cumsum([len(w.encode()) + 1 for w in new])
-            cuts = 4 * (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1)
-            raw, starts = ids.tobytes(), [0, *cuts[:-1].tolist()]
-            young.update(zip(new, [raw[a:b] for a, b in zip(starts, cuts.tolist())]))
-        out = [young[w] for w in words]
+            # Encoded as one text. A blank starts each word, and the bytes that the ids stand for tell whose an id is.
+            text = " " + " ".join(new)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            raw = text.encode()
+            starts = np.append(np.flatnonzero(np.frombuffer(raw, np.uint8) == ord(" ")), len(raw))
+            cuts = 4 * np.searchsorted(np.cumsum(self.bytes_of[ids]) - self.bytes_of[ids], starts)
+            raw, cuts = ids.tobytes(), cuts.tolist()
+            young.update(zip(new, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+        out = list(map(young.__getitem__, words))
         for word in new:
             if len(word) > 64:
                 del young[word]
         return out
 
-    def _alone_ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
 
 def _chunks(texts: pa.Array) -> Iterator[pa.Array]:
     """Runs of at most CHUNK_BYTES bytes, or of one text."""
@@ -181,18 +190,18 @@ def write_tokens(
 ) -> None:
     """Encode ``docs`` (doc_id, text) with the tokenizer file and write a store at ``path``.
 
-    A doc_id that many rows share is spread over parts by its text and place in the input. No
+    A doc_id that many rows share is spread over parts by the rows' places in the input. No
     part needs to know another one: ``before`` counts ids within the part, and the parts' own
     totals, one row each, are summed at the end.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    spark, keys = docs.sparkSession, ["doc_id", "__text", "__place"]
+    spark, keys = docs.sparkSession, ["doc_id", "__place"]
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(size // part_bytes, 2 * spark.sparkContext.defaultParallelism)
     ranged = (
         docs.select("doc_id", text_of().alias("text"))
-        .withColumns({"__text": F.xxhash64("text"), "__place": F.monotonically_increasing_id()})
+        .withColumn("__place", F.monotonically_increasing_id())
         .repartitionByRange(parts, *keys)
         .sortWithinPartitions(*keys)
         .select("doc_id", "text")

@@ -115,7 +115,7 @@ def test_indexes_prune_and_stripes_split(spark, documents, tmp_path):
         options = jvm.org.apache.orc.OrcFile.readerOptions(conf)
         stripes = [jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f), options).getStripes().size() for f in files]
         assert max(stripes) > 1
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
         again = spark.read.schema(read.schema).orc(f"{path}/ids")
         assert again.rdd.getNumPartitions() > len(files) and again.count() == total
     finally:
