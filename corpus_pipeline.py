@@ -39,7 +39,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their shard and slot."""
-    return sharding.shard(docs).select("__row.*", "shard", "slot")
+    return sharding.with_shards(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from replyloom.llm.common import CELLS, number_in_cells, text_of
-from replyloom.session import checkpoint
+from replyloom.operators.rows import number_rows
+from replyloom.session import broadcast_if_small, checkpoint
 
 SHARDS = 16
 # Bits of a dimension, of the tie-break, and of one histogram.
@@ -22,24 +23,29 @@ DIM_BITS, TIE_BITS, STEP_BITS = 48, 48, 12
 DIMENSIONS = ("lang", "source", "size")
 
 
-def _prefix(column: str) -> Column:
-    """Order-preserving number of a text: its first six UTF-8 bytes."""
-    text = F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
-    digits = F.rpad(F.hex(F.substring(text, 1, DIM_BITS // 8)), DIM_BITS // 4, "0")
-    return F.conv(digits, 16, 10).cast("long")
+def _ranks(docs: DataFrame, column: str, name: str) -> DataFrame:
+    """(__value, ``name``): each value of a text column and its place among them in code-point order, from 1."""
+    values = docs.select(F.col(column).cast("string").alias("__value")).where(F.col("__value").isNotNull()).distinct()
+    return checkpoint(number_rows(values, ["__value"], name))
 
 
 def _group_table(docs: DataFrame) -> DataFrame:
-    """One row per distinct text: key, bytes of all its rows and its place in each dimension."""
+    """One row per distinct text: key, bytes of all its rows and its place in each dimension.
+
+    A text dimension holds ranks, so values differ whatever they begin with; null has rank 0.
+    """
     size = F.octet_length(text_of()).cast("long") + 1
     rows = docs.select(
         F.md5(text_of().cast("binary")).alias("__group"),
         size.alias("__size"),
-        *[
-            (F.floor(F.log2(size) * (1 << 40)).cast("long") if d == "size" else _prefix(d)).alias(f"__d{i}")
-            for i, d in enumerate(DIMENSIONS)
-        ],
+        *[F.col(d).cast("string").alias(f"__v{i}") for i, d in enumerate(DIMENSIONS) if d != "size"],
+        *[F.floor(F.log2(size) * (1 << 40)).cast("long").alias(f"__d{i}") for i, d in enumerate(DIMENSIONS) if d == "size"],
     )
+    for i, d in enumerate(DIMENSIONS):
+        if d != "size":
+            ranks = broadcast_if_small(_ranks(docs, d, f"__d{i}"))
+            rows = rows.join(ranks, rows[f"__v{i}"] == ranks["__value"], "left").drop("__value", f"__v{i}")
+            rows = rows.withColumn(f"__d{i}", F.coalesce(f"__d{i}", F.lit(0).cast("long")))
     return rows.groupBy("__group").agg(
         F.sum("__size").alias("__bytes"),
         *[F.min(f"__d{i}").alias(f"__d{i}") for i in range(len(DIMENSIONS))],
@@ -154,9 +160,15 @@ def shard(docs: DataFrame, n_shards: int = SHARDS, columns: Sequence[str] | None
     return number_in_cells(celled, ["shard"], ["__id", "__group"], "slot").drop("__group", "__id")
 
 
+def with_shards(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
+    """``docs`` with the columns shard and slot, which replace given ones of these names."""
+    own = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return shard(docs, n_shards, own).select("__row.*", "shard", "slot")
+
+
 def write_shards(docs: DataFrame, path: str, n_shards: int = SHARDS) -> None:
     """Write each shard to a folder of its own, rows in slot order within a file."""
-    out = shard(docs, n_shards).select("__row.*", "shard", "slot")
+    out = with_shards(docs, n_shards)
     out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 

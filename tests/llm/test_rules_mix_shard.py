@@ -102,6 +102,61 @@ def test_shards_are_even(spark):
     assert sum(size.values()) == sum(len(r.text.encode()) + 1 for r in docs.collect())
 
 
+def test_sources_with_one_beginning_are_told_apart(spark):
+    """Equal sizes and one language: the tree can only cut along the source, at its values."""
+    docs = spark.createDataFrame(
+        [(i, f"{i:05d}" + "x" * 95, "en", f"source_{i % 4}") for i in range(400)], "doc_id long, text string, lang string, source string"
+    )
+    homes = {}
+    for r in sharding.with_shards(docs, 4).collect():
+        homes.setdefault(r.source, set()).add(r.shard)
+    assert all(len(v) == 1 for v in homes.values()) and len(set.union(*homes.values())) == 4
+
+
+def test_shards_of_a_plain_tree(spark):
+    """The same cuts as a tree over lists: widest dimension, weighted median, nearer side."""
+    docs = spark.createDataFrame(
+        [(i, f"{i} " + "y" * (i * 53 % 97), ["de", "en"][i % 2], f"s{i % 3}") for i in range(120)],
+        "doc_id long, text string, lang string, source string",
+    )
+    import hashlib
+    import math
+
+    ranks = [{v: k + 1 for k, v in enumerate(sorted({r[c] for r in docs.collect()}))} for c in ("lang", "source")]
+    groups = []
+    for r in docs.collect():
+        digest, size = hashlib.md5(r.text.encode()).hexdigest(), len(r.text.encode()) + 1
+        at = (ranks[0][r.lang], ranks[1][r.source], math.floor(math.log2(size) * (1 << 40)))
+        groups.append((at, int(digest[:12], 16), size, r.doc_id))
+    whole = [max(g[0][i] for g in groups) - min(g[0][i] for g in groups) or 1 for i in range(3)]
+    want = {}
+
+    def cut(rows, first, k):
+        if k == 1:
+            want.update({r[3]: first for r in rows})
+            return
+        wide = [(max(r[0][i] for r in rows) - min(r[0][i] for r in rows)) / whole[i] for i in range(3)]
+        i = max(range(3), key=lambda d: (wide[d], -d))
+        rows = sorted(rows, key=lambda r: (r[0][i], r[1]))
+        share, held, n = sum(r[2] for r in rows) * (k // 2) / k, 0, 0
+        while held + rows[n][2] < share:
+            held, n = held + rows[n][2], n + 1
+        n += 2 * (share - held) >= rows[n][2]
+        cut(rows[:n], first, k // 2)
+        cut(rows[n:], first + k // 2, k - k // 2)
+
+    cut(groups, 0, 6)
+    assert {r.doc_id: r.shard for r in sharding.with_shards(docs, 6).collect()} == want
+
+
+def test_given_shard_columns_are_replaced(clashing, tmp_path):
+    out = sharding.with_shards(clashing, 4)
+    assert out.columns == [c for c in clashing.columns if c not in ("shard", "slot")] + ["shard", "slot"]
+    sharding.write_shards(clashing, str(tmp_path / "out"), 4)
+    back = clashing.sparkSession.read.parquet(str(tmp_path / "out"))
+    assert back.count() == clashing.count() and {r.shard for r in back.select("shard").collect()} <= {0, 1, 2, 3}
+
+
 def test_shard_edges(clashing, odd, empty, tmp_path):
     _check_shards(sharding.shard_table(odd).collect(), 16)
     assert sharding.shard_table(odd).count() == odd.count()
