@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import os
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from replyloom import session
 from replyloom.functions.text import blank_if_null, strip
 from replyloom.operators.rows import keep_first, keep_last, top_n
+from replyloom.sources import artefacts
+
+# Replies from which on a parent's pairs are joined apart, how many such parents there may be,
+# and how many candidates the frequency sketch tracks.
+HOT_REPLIES = 1_000_000
+HOT_PARENTS = 100
+SKETCH_ITEMS = 4_000
 
 
 def _is_account(author: Column, account: str) -> Column:
@@ -35,9 +45,10 @@ def reply_pairs(messages: DataFrame, brand: str, require_inbound_parent: bool =
     """One row per (customer message, reply by ``brand``), with ``src_ord`` of the reply.
 
     Of several messages with one id the last is the parent; of several replies with one
-    (parent, id) the first non-blank one stays. The replies are deduplicated before the
-    join, so nothing after the join needs their keys together and adaptive execution may
-    split a parent with very many replies.
+    (parent, id) the first non-blank one stays. Messages are scanned twice: once for the replies,
+    which are written down with a sketch of the most frequent parents taken on the way, once for
+    the parents that they name. Pairs of a hot parent come from a broadcast of the few hot
+    ones, all others from a shuffle in which no parent is hot.
     """
     replies = (
         brand_messages(messages, brand)
@@ -53,7 +64,9 @@ def reply_pairs(messages: DataFrame, brand: str, require_inbound_parent: bool =
         .where(F.col("brand_response") != "")
     )
     replies = keep_first(replies, ["customer_tweet_id", "brand_tweet_id"], [F.col("src_ord")])
-    parents = parent_messages(messages, brand).select(
+    replies, hot = _with_hot_parents(replies)
+    wanted = replies.select(F.col("customer_tweet_id").alias("__wanted")).distinct()
+    parents = messages.join(wanted, messages["tweet_id"].cast("string") == wanted["__wanted"], "left_semi").select(
         F.col("tweet_id").cast("string").alias("customer_tweet_id"),
         F.col("author_id").alias("customer_author_id"),
         F.col("created_at").alias("customer_created_at"),
@@ -64,7 +77,15 @@ def reply_pairs(messages: DataFrame, brand: str, require_inbound_parent: bool =
     parents = keep_last(parents, ["customer_tweet_id"], ["__ord"]).where(F.col("customer_text") != "")
     if require_inbound_parent:
         parents = parents.where(F.col("__inbound"))
-    return replies.join(parents, "customer_tweet_id").select(
+    if hot:
+        parents, is_hot = session.checkpoint(parents), F.col("customer_tweet_id").isin(hot)
+        few = F.broadcast(parents.where(is_hot))  # at most HOT_PARENTS messages
+        joined = replies.where(~is_hot).join(parents.where(~is_hot), "customer_tweet_id").unionByName(
+            replies.where(is_hot).join(few, "customer_tweet_id")
+        )
+    else:
+        joined = replies.join(parents, "customer_tweet_id")
+    return joined.select(
         "customer_tweet_id",
         "brand_tweet_id",
         "customer_author_id",
@@ -77,6 +98,43 @@ def reply_pairs(messages: DataFrame, brand: str, require_inbound_parent: bool =
     )
 
 
+def _with_hot_parents(replies: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``replies`` written down, and the parents with about HOT_REPLIES replies or more.
+
+    The sketch is an aggregate that merges from task to task while the rows are written. Its
+    counts may be off, which changes how a parent's pairs are joined, never which pairs there are.
+    """
+    spark, seen = replies.sparkSession, Observation()
+    path = session.fresh_dir(spark, "replies")
+    sketch = F.expr(f"approx_top_k(customer_tweet_id, {HOT_PARENTS}, {SKETCH_ITEMS})")
+    replies.observe(seen, sketch.alias("top")).write.parquet(path)
+    hot = [r["item"] for r in seen.get["top"] or [] if r["count"] >= HOT_REPLIES]
+    return spark.read.schema(replies.schema).parquet(path), hot
+
+
+def extract_pairs(messages: DataFrame, brand: str, root: str) -> int:
+    """The extraction job: publish the reply pairs as a new version below ``root``; their number.
+
+    The rows are counted by the write itself. Without any pair the job raises and publishes
+    nothing, so the last good version stays the current one.
+    """
+    seen = Observation()
+
+    def write(folder: str) -> None:
+        pairs = reply_pairs(messages, brand).observe(seen, F.count(F.lit(1)).alias("n"))
+        pairs.write.parquet(os.path.join(folder, "pairs"))
+        if not seen.get["n"]:
+            raise RuntimeError(f"no pairs of {brand}")
+
+    artefacts.publish(messages.sparkSession, root, write)
+    return seen.get["n"]
+
+
+def read_pairs(spark: SparkSession, root: str) -> DataFrame:
+    """The newest extracted pairs."""
+    return spark.read.parquet(os.path.join(artefacts.current(spark, root), "pairs"))
+
+
 def unanswered_messages(messages: DataFrame, brand: str) -> DataFrame:
     """Inbound messages without a reply by ``brand``: the work queue of the triage."""
     answered = _parent_ids(messages, brand).distinct()

@@ -13,7 +13,7 @@ from replyloom.operators import classify, failures, index, judging, metrics, pai
 from replyloom.operators import lexicon_join, sampling, triage
 from replyloom.plans import views
 from replyloom.session import checkpoint, fresh_dir
-from replyloom.sources.tables import read_table, write_table
+from replyloom.sources.tables import land_csv, read_table, write_csv, write_table
 from replyloom.streaming import triage_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,33 @@ def reply_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.pairs(spark, sf_dir).drop("src_ord")
 
 
+@query
+def extracted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs as the extraction job publishes them."""
+    root = fresh_dir(spark, "pairs")
+    pairing.extract_pairs(views.messages(spark, sf_dir), views.BRAND, root)
+    return pairing.read_pairs(spark, root).drop("src_ord")
+
+
+@query
+def csv_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages through a CSV dump of unequal files, some records faulty and some ids repeated."""
+    work = fresh_dir(spark, "landing")
+    rows_ = views.messages(spark, sf_dir).drop("src_ord")
+    again = rows_.where(F.col("tweet_id") % 5 == 0).withColumn("text", F.concat("text", F.lit(' "again",\nsaid')))
+    id_ = F.col("tweet_id").cast("string")
+    faulty = F.when(F.col("tweet_id") % 17 == 0, F.concat(F.lit("x"), id_)).otherwise(id_)
+    dump = rows_.unionByName(again).withColumn("tweet_id", faulty)
+    write_csv(dump.repartition(F.when(F.col("author_id") == "user", 1).otherwise(F.length("text") % 5)), f"{work}/dump")
+    landed = land_csv(spark, f"{work}/dump", f"{work}/messages", rejects=f"{work}/rejects")
+    columns = ["tweet_id", "author_id", "inbound", "in_response_to_tweet_id", "text"]
+    fits = landed.select(*columns, F.lit("landed").alias("status"))
+    bad = read_table(spark, f"{work}/rejects").select(
+        F.regexp_extract("record", "^x([0-9]+)", 1).cast("long").alias("tweet_id"), F.lit("rejected").alias("status")
+    )
+    return fits.unionByName(bad, allowMissingColumns=True)
+
+
 @query
 def dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.table(spark, sf_dir, "documents")

@@ -336,6 +336,12 @@ ORACLE: dict[str, str] = {
       UNION ALL SELECT 'pairs', count(*) FROM pairs""",
     "parent_semi": f"""WITH {MSG} SELECT tweet_id, author_id, text FROM msg
       WHERE tweet_id IN (SELECT parent_id FROM msg WHERE author_id = 'assistant')""",
+    "extracted_pairs": f"WITH {PAIRS} SELECT * EXCLUDE src_ord FROM pairs",
+    "csv_landing": f"""WITH {MSG}, dump AS (SELECT tweet_id, author_id, inbound, parent_id, text FROM msg
+        UNION ALL SELECT tweet_id, author_id, inbound, parent_id, text || ' "again",' || chr(10) || 'said' FROM msg WHERE tweet_id % 5 = 0)
+      SELECT tweet_id, author_id, inbound, parent_id::VARCHAR AS in_response_to_tweet_id, nullif(text, '') AS text, 'landed' AS status
+      FROM dump WHERE tweet_id % 17 <> 0
+      UNION ALL SELECT tweet_id, NULL, NULL, NULL, NULL, 'rejected' FROM dump WHERE tweet_id % 17 = 0""",
     "reply_pairs": f"WITH {PAIRS} SELECT * EXCLUDE src_ord FROM pairs",
     "dedup_keep_first": """SELECT * FROM documents
       QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1""",

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
+from replyloom import session
 from replyloom.operators.rows import number_rows
 from replyloom.sources import schemas
 
 BOM = "\ufeff"
+# Column that takes the text of a record which does not fit the schema.
+REJECTED = "__rejected"
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -23,20 +26,44 @@ def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
         .option("multiLine", True)
         .option("quote", '"')
         .option("escape", '"')
+        .option("columnNameOfCorruptRecord", REJECTED)
         .csv(path)
     )
 
 
-def land_csv(spark: SparkSession, source: str, target: str, schema: StructType = schemas.MESSAGES) -> DataFrame:
+def land_csv(
+    spark: SparkSession,
+    source: str,
+    target: str,
+    schema: StructType = schemas.MESSAGES,
+    rejects: str | None = None,
+) -> DataFrame:
     """Read a CSV dump once, add the row ordinal ``src_ord`` and keep it as Parquet.
 
     A multi-line CSV file cannot be split, so a large dump should come as many files: each
     is one unit of parallel work. Rows are numbered from 0 by file name and place in the file,
     however the scan packs the files; the numbers are stable once written.
+
+    With ``rejects`` a record that does not fit the schema (a value of another type, too few or
+    too many fields) does not land: that table gets its file, its place there (from 0) and
+    its text. Without, such values are NULL.
     """
-    raw = read_csv(spark, source, schema).withColumns(
+    wide = schema if rejects is None else StructType([*schema.fields, StructField(REJECTED, StringType())])
+    raw = read_csv(spark, source, wide).withColumns(
         {"__file": F.input_file_name(), "__at": F.monotonically_increasing_id()}
     )
+    if rejects is not None:
+        raw = session.checkpoint(raw)
+        bad = raw.where(F.col(REJECTED).isNotNull())
+        # A file is read by one task, in which the ids have no gaps.
+        begins = raw.groupBy("__file").agg(F.min("__at").alias("__begin"))
+        write_table(
+            bad.join(begins, "__file").select(
+                F.col("__file").alias("file"), (F.col("__at") - F.col("__begin")).alias("place"), F.col(REJECTED).alias("record")
+            ),
+            rejects,
+        )
+        raw = raw.where(F.col(REJECTED).isNull()).drop(REJECTED)
     numbered = number_rows(raw, ["__file", "__at"], "__n")
     landed = numbered.withColumn("src_ord", F.col("__n") - 1).drop("__n", "__file", "__at")
     landed.write.mode("overwrite").parquet(target)

@@ -57,11 +57,21 @@ def stream_triage(
 ) -> DataFrame:
     """Process every file available now and return all decisions kept so far.
 
-    An empty part with the columns of a decision is laid down first, so a stream without files
-    reads as no decisions, and an unreadable target stays an error.
+    If no batch has ever run, an empty part with the columns of a decision is laid down, so a
+    stream without files reads as no decisions, and an unreadable target stays an error.
     """
-    nothing = decide(spark.createDataFrame([], schema))
-    nothing.write.mode("ignore").parquet(os.path.join(target, "batch=-1"))
     query = start_triage(read_messages(spark, path, schema, max_files), decide, target, state)
     query.awaitTermination()
+    place = spark._jvm.org.apache.hadoop.fs.Path(target)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        decide(spark.createDataFrame([], schema)).write.parquet(os.path.join(target, "batch=-1"))
     return read_decisions(spark, target)
+
+
+def once_each(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
+    """``stream`` without further copies of a message, as replayed files bring them.
+
+    The ids seen stay in the query's state until the watermark, ``delay`` behind the latest
+    ``time``, has passed them; a copy that comes later than that counts as new.
+    """
+    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])

@@ -71,3 +71,51 @@ def test_pair_counts(messages):
 def test_parents_and_waiting(messages):
     assert sorted({r.tweet_id for r in pairing.parent_messages(messages, "brandco").collect()}) == [1, 3, 7, 9]
     assert [r.tweet_id for r in pairing.unanswered_messages(messages, "brandco").collect()] == [14]
+
+
+def _with_one_hot_parent(spark):
+    """Half of all replies answer one message; two of its copies have different texts."""
+    rows = [(1, "ann", True, None, None, "first"), (1, "ann", True, None, None, "hot")]
+    rows += [(i, "zoe", True, None, None, f"question {i}") for i in range(2, 200)]
+    rows += [(1000 + i, "BrandCo", False, None, "1", f"answer {i}") for i in range(200)]
+    rows += [(2000 + i, "brandco", False, None, str(i), f"answer to {i}") for i in range(2, 200)]
+    return spark.createDataFrame([(*m, "t", i) for i, m in enumerate(rows)], SCHEMA).repartition(6)
+
+
+def test_hot_parents_join_apart(spark, monkeypatch):
+    messages = _with_one_hot_parent(spark)
+    want = sorted(map(tuple, pairing.reply_pairs(messages, "brandco").collect()))
+    assert len(want) == 398 and {r[6] for r in want if r[0] == "1"} == {"hot"}
+    monkeypatch.setattr(pairing, "HOT_REPLIES", 50)
+    got = pairing.reply_pairs(messages, "brandco")
+    assert sorted(map(tuple, got.collect())) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "strategy=broadcast" in plan
+
+
+def test_sketch_names_the_hot_parent(spark, monkeypatch):
+    replies = spark.createDataFrame([("7",)] * 300 + [(str(i),) for i in range(300)], "customer_tweet_id string")
+    for bound, hot in ((1_000, []), (100, ["7"])):
+        monkeypatch.setattr(pairing, "HOT_REPLIES", bound)
+        stored, found = pairing._with_hot_parents(replies.repartition(5))
+        assert found == hot and stored.count() == 600
+
+
+def test_messages_are_scanned_twice(spark, tmp_path):
+    path = str(tmp_path / "messages")
+    _with_one_hot_parent(spark).write.parquet(path)
+    plan = pairing.reply_pairs(spark.read.parquet(path), "brandco")._jdf.queryExecution().optimizedPlan().toString()
+    # The scan for the replies has already run; what is left reads messages once.
+    assert plan.count("tweet_id#") > 0 and plan.count("response_tweet_id") <= plan.count("Relation [")
+    leaves = [line for line in plan.splitlines() if "Relation [" in line and "author_id" in line and "inbound" in line]
+    assert len(leaves) == 1
+
+
+def test_extraction_guards_and_publishes(spark, messages, tmp_path):
+    root = str(tmp_path / "pairs")
+    assert pairing.extract_pairs(messages, "brandco", root) == 4
+    want = sorted(map(tuple, pairing.read_pairs(spark, root).collect()))
+    assert want == sorted(map(tuple, pairing.reply_pairs(messages, "brandco").collect()))
+    with pytest.raises(RuntimeError, match="no pairs of nobody"):
+        pairing.extract_pairs(messages, "nobody", root)
+    assert sorted(map(tuple, pairing.read_pairs(spark, root).collect())) == want

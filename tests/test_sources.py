@@ -94,3 +94,19 @@ def test_checkpoint_cuts_lineage(spark):
     assert "Range" not in df._jdf.queryExecution().toString()
     assert session.shared_dir(spark)
     assert session.is_small(df, 10) and not session.is_small(df, 9)
+
+
+def test_rejected_records(spark, tmp_path):
+    head = DUMP.split("\n", 1)[0]
+    folder = tmp_path / "dump"
+    folder.mkdir()
+    (folder / "a.csv").write_text(head + '\n1,ann,true,,,"two\nlines",Mon\nx2,bob,true,,,y,Tue\n3,eve,perhaps,,,z,Wed\n', encoding="utf-8")
+    (folder / "b.csv").write_text(head + "\n4,ann,false\n5,ann,false,,,ok,Mon\n", encoding="utf-8")
+    rejects = str(tmp_path / "rejects")
+    landed = tables.land_csv(spark, str(folder), str(tmp_path / "messages"), rejects=rejects)
+    assert [(r.src_ord, r.tweet_id, r.text) for r in landed.orderBy("src_ord").collect()] == [(0, 1, "two\nlines"), (1, 5, "ok")]
+    assert landed.columns == [*schemas.MESSAGES.names, "src_ord"]
+    got = {(r.file[-5:], r.place, r.record.split(",")[0]) for r in spark.read.parquet(rejects).collect()}
+    assert got == {("a.csv", 1, "x2"), ("a.csv", 2, "3"), ("b.csv", 0, "4")}
+    again = tables.land_csv(spark, str(folder), str(tmp_path / "all"))
+    assert again.count() == 5
