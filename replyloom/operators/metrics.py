@@ -40,13 +40,20 @@ def confusion_counts(df: DataFrame, gold: str, predicted: str) -> DataFrame:
 
 
 def confusion_matrix(df: DataFrame, gold: str, predicted: str, labels: Sequence[str]) -> DataFrame:
-    """Cross-tabulation with one column per label, ``other`` for all the rest, and zero cells."""
-    listed = F.when(F.col("predicted").isin(*labels), F.col("predicted")).otherwise("other")
+    """Cross-tabulation with one column per label, one for all the rest, and zero cells.
+
+    The column of the rest is ``other``, with as many underscores before it as keep it apart from
+    a label of that name.
+    """
+    rest = "other"
+    while rest in labels:
+        rest = f"_{rest}"
+    listed = F.when(F.col("predicted").isin(*labels), F.col("predicted")).otherwise(rest)
     return (
         confusion_counts(df, gold, predicted)
         .withColumn("predicted", listed)
         .groupBy("gold")
-        .pivot("predicted", list(dict.fromkeys([*labels, "other"])))
+        .pivot("predicted", list(dict.fromkeys([*labels, rest])))
         .sum("n")
         .na.fill(0)
     )

@@ -14,7 +14,7 @@ from replyloom.functions.text import blank_if_null, is_blank, normalize_text, st
 from replyloom.operators.rows import exact_n, hash_cuts, hash_order, keep_first, number_rows
 from replyloom.sources.schemas import require_columns
 
-# Upper text lengths of the first two strata, rows per stratum, rows in all.
+# Upper text lengths of the first two strata, rows per stratum, rows in all.
 LENGTH_EDGES = (80, 200)
 STRATUM_CAPS = (170, 170, 160)
 SAMPLE_SIZE = 500

@@ -212,6 +212,13 @@ def intent_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.intent_sample(views.pairs(spark, sf_dir))
 
 
+@query
+def intent_sample_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sheet drawn from the documents, of which far more are fit than a stratum takes."""
+    reply = F.concat(F.lit("source: "), F.col("brand_response"))
+    return sampling.intent_sample(views.documents(spark, sf_dir).withColumn("brand_response", reply))
+
+
 @query
 def golden_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.golden_quota(views.documents(spark, sf_dir), n=500, taxonomy=views.LANGUAGES)

@@ -311,6 +311,20 @@ MODEL_ROWS = f"""{DOCS}, {split()}, {PAIR_CORPUS},
       FROM weak w JOIN found f ON f.query_id = w.sample_id),
     flagged AS (SELECT *, escalation_reason <> 'safe_to_auto_handle' AS predicted_escalate FROM evaluated)"""
 
+DOC_PAIRS = f"""pairs AS (SELECT 'd' || doc_id AS customer_tweet_id, source AS brand_tweet_id, {strip("text")} AS customer_text,
+      {strip("'source: ' || source")} AS brand_response, doc_id AS src_ord FROM documents)"""
+
+INTENT_SAMPLE = f"""fit AS (SELECT *, {normalize("customer_text")} AS x FROM pairs
+        WHERE length(customer_text) >= 10 AND length(brand_response) >= 10),
+      once AS (SELECT *, customer_tweet_id || '-' || brand_tweet_id AS k,
+        CASE WHEN length(customer_text) <= 80 THEN 0 WHEN length(customer_text) <= 200 THEN 1 ELSE 2 END AS b
+        FROM fit WHERE length(x) >= 10 QUALIFY row_number() OVER (PARTITION BY x ORDER BY src_ord) = 1),
+      drawn AS (SELECT * FROM once
+        QUALIFY row_number() OVER (PARTITION BY b ORDER BY md5((42 + b) || ':' || k), k)
+          <= CASE b WHEN 2 THEN 160 ELSE 170 END)
+      SELECT row_number() OVER (ORDER BY md5('42:' || k), k) AS sample_id, customer_tweet_id, brand_tweet_id,
+        customer_text, brand_response, {SHEET_BLANKS} FROM drawn QUALIFY sample_id <= 500"""
+
 # The design matrix of the fit: one-word terms of the training rows, no floor and no cap.
 TRAIN_TERMS = f"""{DOCS}, {split()}, fit AS (SELECT * FROM split WHERE split = 'train'),
     t_tok AS (SELECT src_ord AS id, {words("customer_text")} AS t FROM fit),
@@ -371,17 +385,8 @@ ORACLE: dict[str, str] = {
     "weak_intent_rows": f"""WITH {MSG}, {weak("msg", "text", INTENT_LEXICON, "other_non_actionable", "tweet_id")}
       SELECT tweet_id, suggested_intent, suggestion_score FROM weak""",
     "weak_label_dist": f"WITH {WEAK_DOCS} SELECT suggested_intent, count(*) AS n FROM weak GROUP BY 1",
-    "intent_sample": f"""WITH {PAIRS},
-      fit AS (SELECT *, {normalize("customer_text")} AS x FROM pairs
-        WHERE length(customer_text) >= 10 AND length(brand_response) >= 10),
-      once AS (SELECT *, customer_tweet_id || '-' || brand_tweet_id AS k,
-        CASE WHEN length(customer_text) <= 80 THEN 0 WHEN length(customer_text) <= 200 THEN 1 ELSE 2 END AS b
-        FROM fit WHERE length(x) >= 10 QUALIFY row_number() OVER (PARTITION BY x ORDER BY src_ord) = 1),
-      drawn AS (SELECT * FROM once
-        QUALIFY row_number() OVER (PARTITION BY b ORDER BY md5((42 + b) || ':' || k), k)
-          <= CASE b WHEN 2 THEN 160 ELSE 170 END)
-      SELECT row_number() OVER (ORDER BY md5('42:' || k), k) AS sample_id, customer_tweet_id, brand_tweet_id,
-        customer_text, brand_response, {SHEET_BLANKS} FROM drawn QUALIFY sample_id <= 500""",
+    "intent_sample": f"WITH {PAIRS}, {INTENT_SAMPLE}",
+    "intent_sample_documents": f"WITH {DOC_PAIRS}, {INTENT_SAMPLE}",
     "golden_quota": f"""WITH {DOCS}, {golden(500)} SELECT sample_id, customer_tweet_id, brand_tweet_id,
       customer_text, brand_response, final_intent AS gold_intent, '' AS gold_escalate,
       '' AS gold_escalation_reason, '' AS gold_label_confidence, '' AS gold_label_notes,

@@ -142,3 +142,9 @@ def test_missing_scores_and_flags(spark):
     flags = spark.createDataFrame([(True, None), (True, True), (None, True)], "g boolean, p boolean")
     row = metrics.binary_metrics(flags, F.col("g"), F.col("p")).first()
     assert (row.precision, row.recall) == (0.5, 0.5)
+
+
+def test_a_label_named_other_keeps_its_column(spark):
+    df = spark.createDataFrame([("a", "other"), ("a", "x"), ("other", "other")], "g string, p string")
+    rows = {r.gold: r.asDict() for r in metrics.confusion_matrix(df, "g", "p", ["a", "other"]).collect()}
+    assert rows["a"] == {"gold": "a", "a": 0, "other": 1, "_other": 1} and rows["other"]["other"] == 1
