@@ -2,12 +2,20 @@
 
 A text can only contain a term if it contains each of the term's q-grams. Every term is listed
 once, under the one of its q-grams that the fewest terms have; a text is looked up under its own
-distinct q-grams, and the terms that it meets are verified. The lexicon stays a table: neither
-the driver nor a query plan ever holds its terms.
+distinct q-grams, and the terms that it meets are verified. Terms of a bounded number go to the tasks
+as a tree of characters instead, which all positions of the texts walk down at once: the time follows
+the length of the texts, not their number times that of the terms. No query plan ever holds the terms.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast, SparkContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,8 +24,14 @@ from replyloom import session
 from replyloom.functions.lexicon import AMBIGUOUS, FALLBACK_INTENT
 from replyloom.functions.text import W, blank_if_null, normalize_text
 
+# Executors get these functions with the job, so none needs this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Length of the grams; a shorter term is its own gram.
 GRAM = 3
+# Characters of text walked through at once, and a character that no text has to end each of them.
+WALK_CHARS = 1 << 20
+END = 0x110000
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -51,11 +65,67 @@ def _has_word(text: Column, term: Column) -> Column:
     return F.regexp_like(text, F.concat(F.lit(f"(?<!{W})"), quoted, F.lit(f"(?!{W})")))
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _tree(sc: SparkContext, terms: list[str]) -> Broadcast:
+    """The characters of the terms in order, the edges (node, character) in order with what they lead to, and the term of each node."""
+    letters = np.unique(np.concatenate([_codes(t) for t in terms]))
+    node = np.zeros(len(terms), np.int64)
+    codes = [np.searchsorted(letters, _codes(t)) for t in terms]
+    size, alive, edges, targets, ends = 1, np.arange(len(terms)), [], [], [np.full(1, -1)]
+    for depth in range(max(map(len, codes))):
+        alive = alive[[len(codes[i]) > depth for i in alive]]
+        keys, at = np.unique(node[alive] * len(letters) + [codes[i][depth] for i in alive], return_inverse=True)
+        node[alive] = size + at
+        edges.append(keys)
+        targets.append(np.arange(size, size + len(keys)))
+        size += len(keys)
+    term = np.full(size, -1)
+    term[node] = np.arange(len(terms))
+    # A node's number grows with its depth and so do its edges: the keys are in order.
+    return sc.broadcast((letters, np.concatenate(edges), np.concatenate(targets), term, pa.array(terms, pa.string())))
+
+
+def _walked(batches: Iterator[pa.RecordBatch], tree: Broadcast) -> Iterator[pa.RecordBatch]:
+    """(key, term) for every distinct term in a text of (key, text)."""
+    letters, edges, targets, term, names = tree.value
+
+    def found(keys: pa.Array, texts: list[np.ndarray]) -> pa.RecordBatch:
+        owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
+        chars = np.concatenate([x for t in texts for x in (t, [END])]).astype(np.int64)
+        code = np.minimum(np.searchsorted(letters, chars), len(letters) - 1)
+        code = np.where(letters[code] == chars, code, -1)
+        at, node, hits = np.arange(len(code)), np.zeros(len(code), np.int64), []
+        while len(at):
+            here = code[at]
+            key = node * len(letters) + here
+            edge = np.minimum(np.searchsorted(edges, key), len(edges) - 1)
+            goes = (here >= 0) & (edges[edge] == key)
+            start, node = at[goes], targets[edge[goes]]
+            ended = term[node] >= 0
+            hits.append(owner[start[ended]] * len(names) + term[node[ended]])
+            # The next character; a text's end matches no edge, so no walk leaves its text.
+            at = start + 1
+        pairs = np.unique(np.concatenate(hits))
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(pairs // len(names))), names.take(pa.array(pairs % len(names)))], ["key", "term"])
+
+    for batch in batches:
+        held, size, first = [], 0, 0
+        for i, text in enumerate(batch.column("text").to_pylist()):
+            held.append(_codes(text or ""))
+            size += len(held[-1])
+            if size >= WALK_CHARS or i + 1 == batch.num_rows:
+                yield found(batch.column("key").slice(first, len(held)), held)
+                held, size, first = [], 0, i + 1
+
+
 def found_terms(texts: DataFrame, index: DataFrame, mode: str = "substring") -> DataFrame:
     """(key, category, priority, term) for every term of the index in a text of ``texts`` (key, text).
 
-    ``key`` must be unique. A small index is broadcast and texts stay where they are. Otherwise
-    only keys and grams are shuffled; texts join the terms that they met to be verified.
+    ``key`` must be unique. The terms of a small index go to the tasks as a tree and texts stay where
+    they are; words are verified afterwards. Otherwise only keys and grams are shuffled; texts join the terms that they met to be verified.
     """
     if mode not in ("substring", "word"):
         raise ValueError(f"unknown mode: {mode}")
@@ -66,8 +136,10 @@ def found_terms(texts: DataFrame, index: DataFrame, mode: str = "substring") ->
     verified = F.contains("text", "term") if mode == "substring" else _has_word(F.col("text"), F.col("term"))
     out = ["key", "category", "priority", "term"]
     if session.is_small(index):
-        met = texts.select("key", "text", F.explode(grams).alias("gram")).join(F.broadcast(index), "gram")
-        return met.where(verified).select(out)
+        tree = _tree(index.sparkSession.sparkContext, [r["term"] for r in index.select("term").distinct().collect()])
+        met = texts.select("key", "text").mapInArrow(partial(_walked, tree=tree), f"key {texts.schema['key'].dataType.simpleString()}, term string")
+        met = met.join(F.broadcast(index.drop("gram")), "term")
+        return (met if mode == "substring" else met.join(texts, "key").where(verified)).select(out)
     met = texts.select("key", F.explode(grams).alias("gram")).join(index, "gram").drop("gram")
     return met.join(texts, "key").where(verified).select(out)
 

@@ -78,3 +78,15 @@ def test_no_terms_and_odd_columns(spark, texts):
     assert lexicon_join.weak_labels(clashing, full).select("i", "suggested_intent").count() == texts.count()
     with pytest.raises(ValueError):
         lexicon_join.risk_flags(texts, full, "customer_text", "risk", "prefix")
+
+
+def test_small_lexicons_make_no_row_per_gram(spark, monkeypatch):
+    """Texts are walked down the tree of terms: neither grams nor copies of a text become rows."""
+    monkeypatch.setattr(lexicon_join, "WALK_CHARS", 10)
+    terms = ["a", "ab", "abc", "bab", "b c", "\U0001d538b", "zz", "c\n", "é"]
+    texts = ["ababc", "b c\n", "", None, "x\U0001d538b\U0001d538", "z", "zzz", "é ab" * 5, "a", "bc"]
+    lexicon = lexicon_join.gram_index(spark.createDataFrame([("n", 0, t) for t in terms], "category string, priority int, term string"))
+    df = spark.createDataFrame(list(enumerate(texts)), "key int, text string")
+    found = lexicon_join.found_terms(df, lexicon)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.key, r.term) for r in found.collect()) == sorted((i, t) for i, x in enumerate(texts) for t in terms if t in (x or ""))
