@@ -47,3 +47,16 @@ def test_sums_and_weights_equal_the_expressions(spark, monkeypatch, ngram_max):
     got = product.weighed(groups, shared, "doc_id").select("doc_id", F.explode("terms").alias("e")).select("doc_id", "e.term", F.round("e.weight", 9))
     want = index.unit_vectors(entries, terms, "doc_id").select("doc_id", F.explode("v").alias("e")).select("doc_id", "e.term", F.round("e.weight", 9))
     assert rows(got) == rows(want)
+
+
+def test_blocks_are_compressed_and_keep_every_weight(spark):
+    """A block takes a small part of the sixteen bytes that a row, a term and a weight have."""
+    texts = [(i, " ".join(f"w{(i * 7 + j * j) % 90}" for j in range(120))) for i in range(300)]
+    groups = spark.createDataFrame([(i, t, 1) for i, t in texts], "key long, words string, copies long")
+    terms = index.fit_terms(product.term_sums(groups, 2), F.lit(300), 2, None)
+    shared = product.Vocabulary.shared(terms)
+    blocks = product.packed(groups.select("key", "words"), shared)
+    sizes = blocks.agg(F.sum("n"), F.sum(sum(F.octet_length(c) for c in ("norms", "rows", "terms", "counts")))).first()
+    assert sizes[1] < 4 * sizes[0]
+    pairs = product.best_of_pairs(blocks, product.packed(groups.select("key", "words"), shared, by_term=True), shared, 1)
+    assert {r.query_id for r in pairs.where("part > 1 - 1e-9").collect()} == {i for i, _ in texts}
