@@ -16,13 +16,15 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from replyloom.llm.common import carry_along, text_of
 from replyloom.llm.components import components
-from replyloom.session import checkpoint
+from replyloom.session import broadcast_if_small, checkpoint
 
 carry_along(__name__)
 
@@ -33,6 +35,14 @@ MIN_CHARS = 1
 SHORT = 16
 # Bits of a line's name that bound the number of edits to another; the rest is a hash.
 SIGN_BITS = 40
+LOW_MASK = (1 << (64 - SIGN_BITS)) - 1
+# Bytes of lines whose segments a task names at once.
+SLICE_BYTES = 2 << 20
+# How a line comes to a segment: by a longer line's look-up, by one of equal length, as its own.
+SHORTER, EQUAL, OWN = 0, 1, 2
+# Base of the polynomial whose differences name substrings, and its inverse modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def segments(length: int, tau: int = THRESHOLD) -> list[tuple[int, int]]:
@@ -115,27 +125,30 @@ def _digest(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
-def names(lines: list[str], hashes: np.ndarray) -> np.ndarray:
+def _code_points(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of all lines, one after the other, and the length of each line."""
+    if not len(lines):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    at = np.frombuffer(lines.buffers()[1], np.int32)[lines.offset : lines.offset + len(lines) + 1]
+    text = str(memoryview(lines.buffers()[2] or b"")[at[0] : at[-1]], "utf-8").encode("utf-32-le")
+    return np.frombuffer(text, np.uint32).astype(np.uint64), pc.utf8_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def names(text: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """A number per line: SIGN_BITS parities of its pairs of neighbours, then bits of its hash.
 
     Each bit tells whether an odd number of the pairs that fall to it occur. An edit takes away
     two pairs at most and brings in two, so the parities of lines that link differ in no more
-    than four bits per edit.
+    than four bits per edit. Lines come as ``_code_points`` gives them.
     """
-    n = len(lines)
-    text = np.frombuffer("\n".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    ends = np.cumsum([len(x) + 1 for x in lines])
+    n = len(lengths)
     pairs = (text[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (text[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
     bins = ((pairs ^ (pairs >> np.uint64(31))) >> np.uint64(7)) % np.uint64(SIGN_BITS)
-    of = np.repeat(np.arange(n), np.diff(np.append(0, ends)))[: len(pairs)]
-    inside = np.ones(len(pairs), bool)
-    for shift in (1, 2):  # pairs with a separator belong to no line
-        at = ends[:-1] - shift
-        inside[at[at >= 0]] = False
-    odd = np.bincount(of[inside] * SIGN_BITS + bins[inside].astype(np.int64), minlength=n * SIGN_BITS) & 1
+    of = np.repeat(np.arange(n), lengths)
+    inside = of[:-1] == of[1:]  # pairs across two lines belong to none
+    odd = np.bincount(of[:-1][inside] * SIGN_BITS + bins[inside].astype(np.int64), minlength=n * SIGN_BITS) & 1
     sign = odd.reshape(n, SIGN_BITS).astype(np.uint64) @ (np.uint64(1) << np.arange(SIGN_BITS, dtype=np.uint64))
-    low = np.uint64(64 - SIGN_BITS)
-    return ((sign << low) | (hashes.view(np.uint64) & ((np.uint64(1) << low) - np.uint64(1)))).view(np.int64)
+    return ((sign << np.uint64(64 - SIGN_BITS)) | (hashes.view(np.uint64) & np.uint64(LOW_MASK))).view(np.int64)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -144,37 +157,87 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return placed.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("key", F.md5(F.col("line").cast("binary")))
 
 
-def _tokens(lines: DataFrame, own: bool, tau: int) -> DataFrame:
-    """Distinct (token, id) of the segments that lines have, or of those that they look up.
+def _line_hash() -> Column:
+    return F.xxhash64(F.col("line").cast("binary"))
+
+
+class _Plans:
+    """Of each length of line the look-ups of ``probes``: a number for partner and segment, start, end and kind."""
+
+    def __init__(self, tau: int):
+        self.tau, self.at, self.tables = tau, {}, np.zeros((4, 0), np.int64)
+
+    def of(self, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first row, number of rows) in ``tables`` for each length."""
+        distinct, which = np.unique(lengths, return_inverse=True)
+        added, end = [self.tables], self.tables.shape[1]
+        for n in distinct.tolist():
+            if n not in self.at:
+                own = segments(n, self.tau)
+                rows = [
+                    (other * (self.tau + 1) + i, at, at + size, OWN if other == n and at == own[i][0] else EQUAL if other == n else SHORTER)
+                    for other, i, at, size in probes(n, self.tau)
+                    if other >= SHORT
+                ]
+                added.append(np.array(rows, np.int64).reshape(-1, 4).T)
+                self.at[n] = end, len(rows)
+                end += len(rows)
+        if len(added) > 1:
+            self.tables = np.concatenate(added, axis=1)
+        found = np.array([self.at[n] for n in distinct.tolist()], np.int64).reshape(-1, 2)[which.reshape(-1)]
+        return found[:, 0], found[:, 1]
+
+
+def _mixed(numbers: np.ndarray) -> np.ndarray:
+    numbers = (numbers ^ (numbers >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (numbers ^ (numbers >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.append(np.uint64(1), np.full(n, base, np.uint64)))
+
+
+def segment_tokens(lines: pa.Array, hashes: np.ndarray, plans: _Plans) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, id, kind) of all substrings that the lines look up, their own segments among them.
+
+    A token stands for partner's length, segment and substring. The substring is named by the
+    difference of two prefixes of one polynomial over all lines, so equal ones have equal names.
+    """
+    text, lengths = _code_points(lines)
+    begins = np.cumsum(lengths) - lengths
+    prefix = np.append(np.uint64(0), np.cumsum(_mixed(text + np.uint64(1)) * _powers(BASE, len(text))[:-1], dtype=np.uint64))
+    back = _powers(INVERSE, len(text))
+    first, counts = plans.of(lengths)
+    row = np.arange(counts.sum()) + np.repeat(first - (np.cumsum(counts) - counts), counts)
+    part, start, end, kind = plans.tables[:, row]
+    begin = np.repeat(begins, counts)
+    name = (prefix[begin + end] - prefix[begin + start]) * back[begin + start]
+    token = _mixed(name ^ _mixed(part.astype(np.uint64) + np.uint64(1)))
+    return token.view(np.int64), np.repeat(names(text, lengths, hashes), counts), kind.astype(np.int8)
+
+
+def _tokens(lines: DataFrame, tau: int) -> DataFrame:
+    """Distinct (token, id, kind) of the segments that lines look up; of kind OWN are those that they have.
 
     A task names a line that it meets again in a batch once, and the rest of the copies go
     after the shuffle, so a line with very many copies weighs as one.
     """
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        plans: dict[int, list] = {}
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plans = _Plans(tau)
         for batch in batches:
-            batch = batch.drop_duplicates("hash")
-            tokens, counts = [], []
-            ids = names(batch["line"].tolist(), batch["hash"].to_numpy(np.int64))
-            for line in batch["line"]:
-                n = len(line)
-                plan = plans.get(n)
-                if plan is None:
-                    wanted = [(n, i, *x) for i, x in enumerate(segments(n, tau))] if own else probes(n, tau)
-                    wanted = [x for x in wanted if x[0] >= SHORT]
-                    plan = plans[n] = [(f"{o} {i} ", at, at + size) for o, i, at, size in wanted]
-                tokens.extend([_digest(head + line[at:end]) for head, at, end in plan])
-                counts.append(len(plan))
-            yield pd.DataFrame(
-                {
-                    "token": np.array(tokens, np.uint64).view(np.int64),
-                    "id": np.repeat(ids, np.array(counts, np.int64)),
-                }
-            )
-
-    dealt = lines.select(F.xxhash64("key").alias("hash"), "line").mapInPandas(deal, "token long, id long")
-    return dealt.repartition("token").distinct()
+            hashes, at = np.unique(batch.column("hash").to_numpy(zero_copy_only=False), return_index=True)
+            texts = batch.column("line").take(pa.array(at))
+            sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(sizes // SLICE_BYTES)) + 1).tolist(), len(texts)]
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a:
+                    found = segment_tokens(texts.slice(a, b - a), hashes[a:b], plans)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["token", "id", "kind"])
+
+    dealt = lines.select(_line_hash().alias("hash"), "line").mapInArrow(deal, "token long, id long, kind byte")
+    # One kind of each line and token is enough: its own segment tells most.
+    return dealt.repartition("token").groupBy("token", "id").agg(F.max("kind").alias("kind"))
 
 
 def candidates(lines: DataFrame, tau: int = THRESHOLD) -> DataFrame:
@@ -183,11 +246,13 @@ def candidates(lines: DataFrame, tau: int = THRESHOLD) -> DataFrame:
     Lines whose names tell that too many edits part them do not leave the join, so near copies
     that share a segment but differ elsewhere make no rows.
     """
-    long = lines.where(F.length("line") >= SHORT)
-    own, asked = _tokens(long, True, tau), _tokens(long, False, tau)
+    dealt = _tokens(lines.where(F.length("line") >= SHORT), tau)
+    own = dealt.where(F.col("kind") == OWN).select("token", F.col("id").alias("u"))
+    asked = dealt.select("token", F.col("id").alias("v"), "kind")
     apart = F.bit_count(F.shiftrightunsigned(F.col("u").bitwiseXOR(F.col("v")), 64 - SIGN_BITS))
-    met = own.withColumnRenamed("id", "u").join(asked.withColumnRenamed("id", "v"), "token")
-    met = met.where((F.col("u") != F.col("v")) & (apart <= 4 * tau))
+    # Of two lines of one length either may look up the other: that with the greater name does.
+    once = (F.col("u") < F.col("v")) | ((F.col("kind") == SHORTER) & (F.col("u") != F.col("v")))
+    met = own.join(asked, "token").where(once & (apart <= 4 * tau))
     return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
@@ -241,11 +306,15 @@ def long_links(lines: DataFrame, tau: int = THRESHOLD) -> DataFrame:
 
     @F.pandas_udf("long")
     def named(text: pd.Series, hashes: pd.Series) -> pd.Series:
-        return pd.Series(names(text.tolist(), hashes.to_numpy(np.int64)), dtype="int64")
-
-    lines = lines.select("key", "line", named("line", F.xxhash64("key")).alias("id"))
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    texts = checkpoint(lines.select("id", "key", "line").join(wanted, "id", "left_semi").dropDuplicates(["key"]))
+        return pd.Series(names(*_code_points(pa.array(text, pa.string())), hashes.to_numpy(np.int64)), dtype="int64")
+
+    wanted = checkpoint(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct())
+    # A name ends like the line's hash, so few other lines have to be named.
+    ends = wanted.select(F.col("id").bitwiseAND(LOW_MASK).alias("end")).distinct()
+    hashed = lines.withColumn("hash", _line_hash())
+    like = hashed.join(broadcast_if_small(ends), F.col("hash").bitwiseAND(LOW_MASK) == F.col("end"), "left_semi")
+    named_lines = like.select("key", "line", named("line", "hash").alias("id"))
+    texts = checkpoint(named_lines.join(broadcast_if_small(wanted), "id", "left_semi").dropDuplicates(["key"]))
     side = lambda n: texts.select(F.col("id").alias(n), F.col("key").alias(f"key_{n}"), F.col("line").alias(f"line_{n}"))
 
     @F.pandas_udf("boolean")

@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from replyloom.llm import components, contamination, induced, lines, simhash, suffix_dedup
@@ -266,3 +267,30 @@ def test_repeated_lines_go_by_row(spark):
 def test_lines_edges(odd, clashing, empty):
     assert lines.line_classes(clashing).count() == lines.line_classes(odd).count()
     assert lines.line_classes(empty).count() == 0
+
+
+def test_segments_meet_as_their_texts_do():
+    """Equal substrings of one partner and segment share a token, however lines are cut into batches; others do not."""
+    rng = random.Random(5)
+    texts = sorted({"".join(rng.choice("abé\U0001d538 ") for _ in range(rng.randint(16, 24))) for _ in range(200)})
+    hashes = np.arange(len(texts), dtype=np.int64)
+    named = lambda some, at: lines.segment_tokens(pa.array(some, pa.string()), hashes[at : at + len(some)], lines._Plans(2))
+    whole = named(texts, 0)
+    halves = [np.concatenate(x) for x in zip(named(texts[:90], 0), named(texts[90:], 90))]
+    assert all((a == b).all() for a, b in zip(whole, halves))
+    want = []
+    for t in texts:
+        want += [(other, i, t[at : at + size], other == len(t) and at == lines.segments(other)[i][0]) for other, i, at, size in lines.probes(len(t)) if other >= lines.SHORT]
+    assert len(want) == len(whole[0]) and [own for *_, own in want] == (whole[2] == lines.OWN).tolist()
+    assert len({(*w[:3], t) for w, t in zip(want, whole[0])}) == len({w[:3] for w in want}) == len(set(whole[0]))
+
+
+def test_lines_of_one_length_meet_in_one_direction(spark):
+    """The join makes no more than one row per segment that a pair shares."""
+    base = "a line of thirty-six characters here"
+    texts = [base[:i] + "#" + base[i + 1 :] for i in range(2, 8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    dealt = lines._tokens(lines.lines_of(docs), 2)
+    assert dealt.where(f"kind = {lines.OWN}").count() == 6 * 3
+    assert lines.candidates(lines.lines_of(docs)).count() == 15
+    assert {r.n_links for r in lines.line_classes(docs).collect()} == {5}
