@@ -154,7 +154,11 @@ def names(text: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> np.ndarr
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, place, line, key) of every line that is not blank, told apart by ``key``; null texts have none."""
     placed = docs.select("doc_id", F.posexplode(F.split(text_of(), "\n")).alias("place", "line"))
-    return placed.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("key", F.md5(F.col("line").cast("binary")))
+    return placed.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("key", line_key())
+
+
+def line_key() -> Column:
+    return F.md5(F.col("line").cast("binary")).alias("key")
 
 
 def _line_hash() -> Column:
@@ -274,6 +278,8 @@ def short_links(lines: DataFrame, tau: int = THRESHOLD) -> DataFrame:
     no group is much larger than its links.
     """
 
+    short = checkpoint(lines.where(F.length("line") < SHORT + tau).select("line").distinct())
+
     def left(own: bool, name: str) -> DataFrame:
         def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -282,7 +288,7 @@ def short_links(lines: DataFrame, tau: int = THRESHOLD) -> DataFrame:
                 tokens = np.array([x for one in kept for x in one], np.uint64).view(np.int64)
                 yield pd.DataFrame({"token": tokens, name: np.repeat(batch["line"].to_numpy(object), counts)})
 
-        some = lines.where(F.length("line") < (SHORT if own else SHORT + tau)).select("line").distinct()
+        some = short.where(F.length("line") < SHORT) if own else short
         return some.mapInPandas(deal, f"token long, {name} string")
 
     @F.pandas_udf("boolean")
@@ -311,9 +317,10 @@ def long_links(lines: DataFrame, tau: int = THRESHOLD) -> DataFrame:
     wanted = checkpoint(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct())
     # A name ends like the line's hash, so few other lines have to be named.
     ends = wanted.select(F.col("id").bitwiseAND(LOW_MASK).alias("end")).distinct()
-    hashed = lines.withColumn("hash", _line_hash())
-    like = hashed.join(broadcast_if_small(ends), F.col("hash").bitwiseAND(LOW_MASK) == F.col("end"), "left_semi")
-    named_lines = like.select("key", "line", named("line", "hash").alias("id"))
+    hashed = lines.select("line", _line_hash().alias("hash"))
+    # Written down, or the engine would name every line before this join.
+    like = checkpoint(hashed.join(broadcast_if_small(ends), F.col("hash").bitwiseAND(LOW_MASK) == F.col("end"), "left_semi"))
+    named_lines = like.select(line_key(), "line", named("line", "hash").alias("id"))
     texts = checkpoint(named_lines.join(broadcast_if_small(wanted), "id", "left_semi").dropDuplicates(["key"]))
     side = lambda n: texts.select(F.col("id").alias(n), F.col("key").alias(f"key_{n}"), F.col("line").alias(f"line_{n}"))
 
