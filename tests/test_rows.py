@@ -22,6 +22,23 @@ def test_keep_first_filters_before_the_shuffle(spark):
     assert plan.index("Final") < plan.index("Exchange") < plan.index("Partial")
 
 
+@pytest.mark.parametrize("many", [False, True])
+def test_keep_first_wide_leaves_rows_where_they_are(spark, monkeypatch, many):
+    data = [("a", "x", 3), ("a", "x", 1), ("a", "y", 2), (None, "x", 4), (None, "x", None), ("", "x", 6), ("", None, 7)]
+    df = spark.createDataFrame(data, "k string, l string, o int").repartition(3)
+    if many:
+        monkeypatch.setattr(rows.session, "BROADCAST_ROWS", 0)
+    got = rows.keep_first_wide(df, ["k", "l"], "o")
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, rows.keep_first(df, ["k", "l"], [F.col("o")]).collect()), key=key)
+    assert ("WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()) == many
+
+
+def test_keep_first_wide_keeps_one_of_tied_rows(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1)], "k string, o int")
+    assert sorted(map(tuple, rows.keep_first_wide(df, ["k"], "o").collect())) == [("a", 1), ("b", 1)]
+
+
 def test_exact_n_with_hot_key(spark):
     df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.col("id") % 5 + 10).otherwise(1).alias("k"), "id")
     df = df.withColumn("h", rows.hash_order(7, F.col("id")))
