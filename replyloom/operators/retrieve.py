@@ -176,13 +176,18 @@ def _multiplied(queries: DataFrame, index: TextIndex, k: int) -> DataFrame | Non
     """
     spark = queries.sparkSession
     n_chars = queries.agg(F.sum(F.length("words"))).first()[0] or 0
-    asked = session.checkpoint(product.packed(queries.repartition(1 + n_chars // PART_CHARS), index.vocabulary))
+    # Blocks are dealt out, not texts: they are some five times smaller.
+    asked = session.checkpoint(product.packed(queries, index.vocabulary).repartition(1 + n_chars // PART_CHARS))
     if (asked.agg(F.sum("work")).first()[0] or 0) <= PRODUCT_ROWS:
         return None
     wanted = spark.sparkContext.broadcast(product.marked_terms(asked, len(index.vocabulary.value[0])))
-    parts = max(spark.sparkContext.defaultParallelism, 1 + index.n_chars // PART_CHARS)
-    texts = index.groups.select(F.col("doc_id").alias("key"), "words").repartition(parts)
-    documents = session.checkpoint(product.packed(texts, index.vocabulary, wanted, by_term=True))
+    cores, parts = spark.sparkContext.defaultParallelism, 1 + index.n_chars // PART_CHARS
+    texts = index.groups.select(F.col("doc_id").alias("key"), "words")
+    if parts > cores:
+        documents = product.packed(texts, index.vocabulary, wanted, by_term=True).repartition(parts)
+    else:  # so few that there may be fewer blocks than cores
+        documents = product.packed(texts.repartition(cores), index.vocabulary, wanted, by_term=True)
+    documents = session.checkpoint(documents)
     pairs = product.best_of_pairs(asked, documents, index.vocabulary, k)
     scores = pairs.select("query_id", "doc_id", F.round("part", DIGITS).alias("similarity"))
     return session.checkpoint(_best(scores, k).drop("rank"))

@@ -33,6 +33,34 @@ def test_counts_need_neither_vectors_nor_blocks(spark):
     assert "blocks" not in vars(built)
 
 
+@pytest.mark.parametrize("few", [500_000, 1])
+def test_groups_shuffle_no_text_and_weights_need_no_vectors(spark, monkeypatch, few):
+    monkeypatch.setattr(index.session, "BROADCAST_ROWS", few)
+    texts = ["one two three", "two three four", "one two three", "ONE two, three", "two three four", "alone here two"]
+    docs = spark.createDataFrame([(i, t, "r") for i, t in enumerate(texts)], "src_ord long, customer_text string, brand_response string")
+    built = index.build_index(docs, max_features=1 if few == 1 else 100)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(built.groups.select("doc_id", "copies", "words")) == [
+        (0, 3, "one two three"), (1, 2, "two three four"), (5, 1, "alone here two")
+    ]
+    assert built.has_copies and built.n_chars == 13 + 14 + 14
+    joined = index.unit_vectors(index.term_entries(docs, "src_ord", "customer_text", 2), built.fitted, "src_ord")
+    want = joined.select("src_ord", F.explode("v").alias("e")).select("src_ord", "e.term", F.round("e.weight", 9))
+    assert rows(built.document_weights().withColumn("weight", F.round("weight", 9))) == rows(want)
+    assert "vectors" not in vars(built)
+    if few > 1:
+        plan = built.groups._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan
+
+
+def test_corpus_rows_are_not_shuffled(spark):
+    docs, _ = frames(spark, *corpus(13))
+    golden = docs.limit(3)
+    left = index.corpus_leakage_free(docs, golden)
+    assert "hashpartitioning" not in left._jdf.queryExecution().executedPlan().toString()
+    assert left.join(golden, "customer_text").count() == 0 and left.count() > 0
+
+
 @pytest.mark.parametrize("ngram_max", [1, 2, 3])
 def test_sums_and_weights_equal_the_expressions(spark, monkeypatch, ngram_max):
     monkeypatch.setattr(product, "SLICE_BYTES", 40)
