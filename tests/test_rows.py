@@ -25,7 +25,9 @@ def test_keep_first_filters_before_the_shuffle(spark):
 @pytest.mark.parametrize("many", [False, True])
 def test_keep_first_wide_leaves_rows_where_they_are(spark, monkeypatch, many):
     data = [("a", "x", 3), ("a", "x", 1), ("a", "y", 2), (None, "x", 4), (None, "x", None), ("", "x", 6), ("", None, 7)]
-    df = spark.createDataFrame(data, "k string, l string, o int").repartition(3)
+    df = spark.createDataFrame(data, "k string, l string, o int")
+    few = rows.keep_first_wide(df.coalesce(1), ["k", "l"], "o")
+    assert "WindowGroupLimit" in few._jdf.queryExecution().executedPlan().toString()
     if many:
         monkeypatch.setattr(rows.session, "BROADCAST_ROWS", 0)
     got = rows.keep_first_wide(df, ["k", "l"], "o")
