@@ -39,6 +39,7 @@ def test_keep_first_wide_leaves_rows_where_they_are(spark, monkeypatch, many):
 def test_keep_first_wide_keeps_one_of_tied_rows(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1)], "k string, o int")
     assert sorted(map(tuple, rows.keep_first_wide(df, ["k"], "o").collect())) == [("a", 1), ("b", 1)]
+    assert rows.keep_first_wide(df.repartition(3).where(F.col("o") > 1), ["k"], "o").count() == 0
 
 
 def test_exact_n_with_hot_key(spark):
