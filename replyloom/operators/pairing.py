@@ -17,6 +17,8 @@ from replyloom.sources import artefacts
 HOT_REPLIES = 1_000_000
 HOT_PARENTS = 100
 SKETCH_ITEMS = 4_000
+# Name of the md5 of a pair's customer_text.
+DIGEST = "customer_digest"
 
 
 def _is_account(author: Column, account: str) -> Column:
@@ -41,7 +43,7 @@ def parent_messages(messages: DataFrame, brand: str) -> DataFrame:
     )
 
 
-def reply_pairs(messages: DataFrame, brand: str, require_inbound_parent: bool = False) -> DataFrame:
+def reply_pairs(messages: DataFrame, brand: str, require_inbound_parent: bool = False, digest: bool = False) -> DataFrame:
     """One row per (customer message, reply by ``brand``), with ``src_ord`` of the reply.
 
     Of several messages with one id the last is the parent; of several replies with one
@@ -49,6 +51,9 @@ def reply_pairs(messages: DataFrame, brand: str, require_inbound_parent: bool =
     replies, which are written down with a sketch of the most frequent parents taken on the way, and for
     the parents that they name. Pairs of a hot parent come from a broadcast of the few hot
     ones, all others from a shuffle in which no parent is hot.
+
+    ``digest`` adds ``customer_digest``, the md5 of customer_text. It is made before the texts are
+    shuffled, so whoever reads it alone shuffles no text.
     """
     replies = (
         brand_messages(messages, brand)
@@ -65,16 +70,20 @@ def reply_pairs(messages: DataFrame, brand: str, require_inbound_parent: bool =
     )
     replies = keep_first_wide(replies, ["customer_tweet_id", "brand_tweet_id"], "src_ord")
     replies, hot = _with_hot_parents(replies)
-    wanted = replies.select(F.col("customer_tweet_id").alias("__wanted")).distinct()
-    parents = messages.join(wanted, messages["tweet_id"].cast("string") == wanted["__wanted"], "left_semi").select(
+    # Ids of stored replies; while a broadcast holds them, only texts of parents are shuffled.
+    wanted = session.broadcast_if_small(replies.select("customer_tweet_id").distinct())
+    text = strip(blank_if_null(F.col("text")))
+    parents = messages.select(
         F.col("tweet_id").cast("string").alias("customer_tweet_id"),
         F.col("author_id").alias("customer_author_id"),
         F.col("created_at").alias("customer_created_at"),
-        strip(blank_if_null(F.col("text"))).alias("customer_text"),
+        text.alias("customer_text"),
+        F.md5(text).alias(DIGEST),
+        (text != "").alias("__filled"),
         F.col("inbound").alias("__inbound"),
         F.col("src_ord").alias("__ord"),
-    )
-    parents = keep_last(parents, ["customer_tweet_id"], ["__ord"]).where(F.col("customer_text") != "")
+    ).join(wanted, "customer_tweet_id", "left_semi")
+    parents = keep_last(parents, ["customer_tweet_id"], ["__ord"]).where("__filled")
     if require_inbound_parent:
         parents = parents.where(F.col("__inbound"))
     if hot:
@@ -95,6 +104,7 @@ def reply_pairs(messages: DataFrame, brand: str, require_inbound_parent: bool =
         "customer_text",
         "brand_response",
         "src_ord",
+        *([DIGEST] if digest else []),
     )
 
 
@@ -137,7 +147,7 @@ def read_pairs(spark: SparkSession, root: str) -> DataFrame:
 
 def unanswered_messages(messages: DataFrame, brand: str) -> DataFrame:
     """Inbound messages without a reply by ``brand``: the work queue of the triage."""
-    answered = _parent_ids(messages, brand).distinct()
+    answered = session.broadcast_if_small(session.checkpoint(_parent_ids(messages, brand).distinct()))
     return messages.where(F.col("inbound")).join(
         answered, messages["tweet_id"].cast("string") == answered["parent_id"], "left_anti"
     )

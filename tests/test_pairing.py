@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+
 import pytest
 
 from replyloom.operators import pairing
@@ -119,3 +121,22 @@ def test_extraction_guards_and_publishes(spark, messages, tmp_path):
     with pytest.raises(RuntimeError, match="no pairs of nobody"):
         pairing.extract_pairs(messages, "nobody", root)
     assert sorted(map(tuple, pairing.read_pairs(spark, root).collect())) == want
+
+
+def test_digests_of_pairs_need_no_texts(spark, messages, tmp_path):
+    path = str(tmp_path / "messages")
+    messages.write.parquet(path)
+    pairs = pairing.reply_pairs(spark.read.parquet(path), "brandco", digest=True)
+    assert {r.customer_text: r.customer_digest for r in pairs.collect()} == {
+        t: hashlib.md5(t.encode()).hexdigest() for t in ("help", "last copy", "again")
+    }
+    plan = pairs.select("src_ord", "customer_digest")._jdf.queryExecution().optimizedPlan().toString()
+    shuffled = [line for line in plan.splitlines() if "Window" in line or "Join" in line]
+    assert shuffled and not any("text#" in line for line in shuffled)
+    assert any("LeftSemi" in line and "strategy=broadcast" in line for line in shuffled)
+    assert "AS customer_text#" not in plan and "AS customer_digest#" in plan
+
+
+def test_waiting_messages_stay_where_they_are(messages):
+    left = pairing.unanswered_messages(messages, "brandco")
+    assert "hashpartitioning" not in left._jdf.queryExecution().executedPlan().toString()
