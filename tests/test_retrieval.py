@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from replyloom import session
+from replyloom.functions.text import signature
 from replyloom.operators import index, retrieve
 from replyloom.sources import artefacts
 
@@ -273,3 +274,16 @@ def test_report(spark):
         4, 0.4375, 1.0, 0.0, 0.375,
     )
     assert [r.query_id for r in retrieve.top_matches(best, "query_id", 2).collect()] == [3, 1]
+
+
+@pytest.mark.parametrize("extra", [[], [(1, "two words here")], [(None, "lonely words"), (None, "lonely words")]])
+def test_queries_with_equal_words_are_looked_up_once_and_stay(spark, extra):
+    rows = [(1, "two words here"), (2, "Two, words here"), (3, "three words here"), (4, "two words HERE"), (None, "three words here")]
+    queries = spark.createDataFrame(rows + extra, "query_id long, customer_text string")
+    worded = queries.select("query_id", signature(F.col("customer_text")).alias("query_text"))
+    worded = worded.withColumn("__digest", F.md5("query_text"))
+    got = retrieve._looked_up(worded, worded.select(F.col("query_id").alias("__key"), "__digest"))
+    want = {(1, "two words here"), (3, "three words here")} | {r for r in extra if r[0] is None}
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    shuffles = "hashpartitioning" in got._jdf.queryExecution().executedPlan().toString()
+    assert shuffles == bool(extra)

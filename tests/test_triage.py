@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from replyloom.operators import failures, index, judging, triage
+from replyloom.plans import views
 
 # Message, intent, confidence, similarity; then escalate and reason.
 CASES = [
@@ -128,3 +129,24 @@ def test_judge_means(spark):
         "sample_id int, grounded int, relevant int, helpful int, unsupported_claim int, overall int, reason string, status string",
     )
     assert tuple(judging.judge_means(df).first()) == (2, 1, 3.0, 3.0, 3.0, 4.0, 0.5)
+
+
+def test_texts_do_not_meet_the_matches_unless_asked_for(spark):
+    pairs = spark.createDataFrame(
+        [(i, f"kettle colour {i % 3} blue", f"reply {i}") for i in range(9)], "src_ord long, customer_text string, brand_response string"
+    )
+    waiting = spark.createDataFrame(
+        [(1, "blue kettle colour", "product_question", 0.9), (2, "hacked blue kettle", "product_question", 0.9)],
+        "query_id long, customer_text string, predicted_intent string, intent_confidence double",
+    )
+    decided = triage.triage(waiting, index.build_index(pairs), "query_id")
+    reasons = {r.query_id: r.escalation_reason for r in decided.select("query_id", "escalation_reason").collect()}
+    assert reasons == {1: "safe_to_auto_handle", 2: "security_or_account_risk"}
+    assert {r.customer_text for r in decided.collect()} == {"blue kettle colour", "hacked blue kettle"}
+    plan = decided.select("query_id", "escalation_reason")._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("customer_text#" in line for line in plan.splitlines() if "Relation [" not in line)
+
+
+def test_labelled_documents_are_not_shuffled(spark):
+    plan = views.gold_documents(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
