@@ -97,3 +97,12 @@ def test_review_template(spark):
     sheet = sampling.review_template(df, ["o"]).orderBy("sample_id").collect()
     assert [(r.sample_id, r.customer_text, r.brand_response) for r in sheet] == [(1, "", "r1"), (2, "b", "r2"), (3, "c", "")]
     assert sheet[0].review_status == "pending"
+
+
+def test_split_keeps_texts_by_column_and_shuffles_none(spark):
+    texts = [(i, "en", f"text {i % 30}") for i in range(40)]
+    df = spark.createDataFrame(texts, "src_ord long, final_intent string, customer_text string").repartition(8)
+    split = sampling.stratified_split(df, taxonomy=["en"], exclude=df.where("src_ord = 3"))
+    assert sorted(r.src_ord for r in split.collect()) == [i for i in range(30) if i != 3]
+    plan = split._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" in plan and "LogicalRDD" not in plan
