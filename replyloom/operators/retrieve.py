@@ -184,7 +184,9 @@ def _multiplied(queries: DataFrame, index: TextIndex, k: int, n_chars: int | Non
     wanted = spark.sparkContext.broadcast(product.marked_terms(asked, len(index.vocabulary.value[0])))
     cores, parts = spark.sparkContext.defaultParallelism, 1 + index.n_chars // PART_CHARS
     texts = index.groups.select(F.col("doc_id").alias("key"), "words")
-    if parts > cores:
+    if index.saved:  # counted before; their blocks are as many as those of the texts
+        documents = product.narrowed(index.packed, wanted).repartition(max(parts, cores))
+    elif parts > cores:
         documents = product.packed(texts, index.vocabulary, wanted, by_term=True).repartition(parts)
     else:  # so few that there may be fewer blocks than cores
         documents = product.packed(texts.repartition(cores), index.vocabulary, wanted, by_term=True)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +89,11 @@ def test_blocks_are_compressed_and_keep_every_weight(spark):
     assert sizes[1] < 4 * sizes[0]
     pairs = product.best_of_pairs(blocks, product.packed(groups.select("key", "words"), shared, by_term=True), shared, 1)
     assert {r.query_id for r in pairs.where("part > 1 - 1e-9").collect()} == {i for i, _ in texts}
+
+
+def test_terms_have_the_same_numbers_however_they_are_read(spark):
+    terms = spark.createDataFrame([(f"{w} {v}".strip(), 1.0 + i, i) for i, w in enumerate("ecadb") for v in ("", "x")], "term string, idf double, df long")
+    one, other = (product.Vocabulary(*product.Vocabulary.shared(terms.orderBy(o)).value) for o in ("df", F.desc("df")))
+    assert one.terms.equals(other.terms) and list(one.idf) == list(other.idf)
+    texts = pa.array(["a x b", "e c x"])
+    assert all((a == b).all() for a, b in zip(one.tally(texts), other.tally(texts)))

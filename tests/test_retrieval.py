@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 from collections import Counter
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from replyloom import session
 from replyloom.functions.text import signature
-from replyloom.operators import index, retrieve
+from replyloom.operators import index, product, retrieve
 from replyloom.sources import artefacts
 
 
@@ -287,3 +288,25 @@ def test_queries_with_equal_words_are_looked_up_once_and_stay(spark, extra):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     shuffles = "hashpartitioning" in got._jdf.queryExecution().executedPlan().toString()
     assert shuffles == bool(extra)
+
+
+@pytest.mark.parametrize(("cap", "products"), [(100, 0), (100, 10**7), (None, 10**7)])
+def test_a_saved_index_of_bounded_terms_holds_counts(spark, tmp_path, monkeypatch, cap, products):
+    monkeypatch.setattr(retrieve, "PRODUCT_ROWS", products)
+    docs, queries = corpus(14)
+    d, q = frames(spark, docs, queries)
+    root, built = str(tmp_path / "ix"), index.build_index(d, max_features=cap)
+    folder = built.save(root)
+    postings = {"terms", "vectors", "blocks"} if cap is None else {"fitted", "packed"}
+    assert set(os.listdir(folder)) == {"docs", "groups", "meta"} | postings
+    loaded = index.TextIndex.load(spark, root)
+    if products == 0:
+        monkeypatch.setattr(product, "packed", lambda texts, *a, real=product.packed, **b: pytest.fail("counted again") if b else real(texts, *a))
+    got = collected(retrieve.retrieve(q, loaded, 2))
+    assert ("vectors" in vars(loaded)) == (products > 0 and cap is not None) or cap is None
+    for key, expected in brute_force(docs, queries, 2, cap=cap).items():
+        assert [i for i, _ in got[key]] == [i for i, _ in expected]
+    flat = loaded.document_weights()
+    assert sorted(map(tuple, flat.select("doc_id", "term", F.round("weight", 9)).collect())) == sorted(
+        map(tuple, built.document_weights().select("doc_id", "term", F.round("weight", 9)).collect())
+    )
