@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -97,3 +98,29 @@ def test_terms_have_the_same_numbers_however_they_are_read(spark):
     assert one.terms.equals(other.terms) and list(one.idf) == list(other.idf)
     texts = pa.array(["a x b", "e c x"])
     assert all((a == b).all() for a, b in zip(one.tally(texts), other.tally(texts)))
+
+
+@pytest.mark.parametrize("k", [1, 3])
+@pytest.mark.parametrize("dense", [0.0, 0.1, 2.0])
+@pytest.mark.parametrize("cells", [40, 1 << 20])
+def test_best_of_a_pair_is_that_of_the_whole_product(monkeypatch, k, dense, cells):
+    """Frequent terms in a dense matrix, in none or in part: the best rounded scores, first documents of equal ones."""
+    rng = np.random.default_rng(3)
+    sides = []
+    for n, by_term in ((13, False), (17, True)):
+        weights = np.where(rng.random((n, 9)) < np.linspace(0.05, 0.9, 9), rng.integers(1, 4, (n, 9)) / 8, 0.0)
+        weights[4] = 0.0
+        row, term = np.nonzero(weights)
+        order = np.lexsort((row, term)) if by_term else np.lexsort((term, row))
+        sides.append((weights, (row[order], term[order] * 5, weights[row, term][order], n)))
+    (queries, q), (documents, d) = sides
+    monkeypatch.setattr(product, "DENSE", dense)
+    monkeypatch.setattr(product, "CELLS", cells)
+    got: dict[int, list] = {}
+    for run, column, score in product._pair_best(*q, *d, k):
+        for a, b, s in zip(run.tolist(), column.tolist(), score.tolist()):
+            got.setdefault(a, []).append((-round(s * product.UNIT), b))
+    whole = queries @ documents.T
+    for i, line in enumerate(whole):
+        best = sorted((-round(s * product.UNIT), j) for j, s in enumerate(line) if s > 0)[:k]
+        assert sorted(got.get(i, [])) == best
